@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from convolake.llm import simhash
+from convolake.llm import quality_rules, simhash
 
 QUERIES = {
+    "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_quality_rules": quality_rules.OP9_SQL,
+}
