@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from convolake.llm import quality_rules, simhash
+from convolake.llm import bpe, dac, mixing, quality_rules, sharding, simhash, threshold
 
 QUERIES = {
+    "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_threshold": threshold.op2_threshold,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_dac": dac.op4_dac,
+    "op6_sharding": sharding.op6_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_threshold": threshold.OP2_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
 }
