@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from convolake.llm import bpe, dac, mixing, quality_rules, sharding, simhash, threshold
+from convolake.llm import bpe, dac, line_dedup, mixing, quality, quality_rules, sharding, simhash, threshold, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_threshold": threshold.op2_threshold,
     "op3_mixing": mixing.op3_mixing,
     "op4_dac": dac.op4_dac,
+    "op5_quality": quality.op5_quality,
     "op6_sharding": sharding.op6_sharding,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_simhash": simhash.op10_simhash,
 }
