@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from convolake.storage import table
+from convolake.plans import activity, maintenance, retrieval, sessions, texts
 
-
-def FLAGSHIP(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").count()
-
-
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+_MODULES = (retrieval, sessions, activity, maintenance, texts)
+FLAGSHIP = retrieval.hybrid_search_capped
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
