@@ -206,7 +206,8 @@ def fused(*rankings: DataFrame, key: str = "key", k: int = RRF_K) -> DataFrame:
 def recency(ts: Column, now: datetime) -> Column:
     """0.8 to 1.0, halving its excess every 90 days; the future counts as now, null as never."""
     days = (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(ts.cast("timestamp"))) / 86400.0
-    return F.coalesce(0.8 + 0.2 * F.pow(F.lit(0.5), F.greatest(F.lit(0.0), days) / HALF_LIFE_DAYS), F.lit(0.8))
+    fresh = 0.2 * F.pow(F.lit(0.5), F.greatest(F.lit(0.0), days) / HALF_LIFE_DAYS)
+    return F.when(ts.isNull(), 0.8).otherwise(0.8 + fresh)
 
 
 def capped(ranked: DataFrame, session: str, order: list, cap: int = MAX_PER_SESSION, exempt: Column | None = None) -> DataFrame:

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 from convolake.operators import sessions as S
 from convolake.storage import table
 
-_PROMPT = F.col("role") == "user"
-_LABEL = F.when(F.col("role") == "user", "User").when(F.col("role") == "assistant", "Assistant")
+
+def _prompt():
+    return F.col("role") == "user"
+
+
+def _label():
+    return F.when(F.col("role") == "user", "User").when(F.col("role") == "assistant", "Assistant")
 
 
 def _turned(spark, sf_dir):
-    return S.turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", _PROMPT)
+    return S.turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", _prompt())
 
 
 _TURNED = """
@@ -26,7 +31,7 @@ def turn_segments(spark, sf_dir):
 
 
 def turn_text(spark, sf_dir):
-    return S.turn_texts(_turned(spark, sf_dir), "conv_id", "turn", _LABEL)
+    return S.turn_texts(_turned(spark, sf_dir), "conv_id", "turn", _label())
 
 
 TURN_TEXT_SQL = f"""{_TURNED},
@@ -65,7 +70,7 @@ def ts_locf(spark, sf_dir):
 
 def session_fold(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
-    return S.folded(rows, "conv_id", "turn", _PROMPT, F.col("role") == "assistant")
+    return S.folded(rows, "conv_id", "turn", _prompt(), F.col("role") == "assistant")
 
 
 def session_facts(spark, sf_dir):
