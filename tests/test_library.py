@@ -271,3 +271,46 @@ def test_streamed_turns_close_at_prompts(spark, tmp_path):
 def test_label_helpers(spark):
     df = spark.createDataFrame([(0, 999), (1, 1234), (2, 100000)], "i int, n long")
     assert [r[0] for r in df.orderBy("i").select(text.size_label(F.col("n"))).collect()] == ["999 chars", "1.2k chars", "100.0k chars"]
+
+
+def test_rate_limit_counts_only_what_it_lets_through(spark):
+    from convolake.operators import surface
+
+    times = [0, 1, 2, 3, 59, 61, 62, 200]
+    df = spark.createDataFrame([(i, "k", datetime.fromtimestamp(1_700_000_000 + t)) for i, t in enumerate(times)], "i int, k string, ts timestamp")
+    got = {r["i"]: r["admitted"] for r in surface.admitted(df, "k", "ts", "i", 2, 60).collect()}
+    assert [got[i] for i in range(8)] == [True, True, False, False, False, True, True, True]
+
+
+def test_highlight_takes_the_best_window(spark):
+    from convolake.operators import surface
+
+    body = " ".join(["x"] * 40 + ["Cat", "and", "cat."] + ["y"] * 40)
+    df = spark.createDataFrame([(1, body), (2, "nothing here"), (3, None)], "i int, t string")
+    got = {r[0]: r[1] for r in df.select("i", surface.highlighted(F.col("t"), ["cat"], 60)).collect()}
+    assert got[1].startswith("…") and "**Cat** and **cat.**" in got[1] and got[2] == "nothing here" and got[3] is None
+
+
+def test_tail_resumes_and_sees_rewrites(tmp_path):
+    from convolake.streaming.tail import TailReader
+
+    path = tmp_path / "a.jsonl"
+    path.write_text("one\ntwo\npart")
+    reader = TailReader(f"{tmp_path}/*.jsonl")
+    read = lambda a, b: [(r[1], r[2], r[3]) for p in reader.partitions(a, b) for r in reader.read(p)]
+    first = reader.latestOffset()
+    assert read({}, first) == [(0, 0, "one"), (4, 0, "two")]
+    path.write_text("one\ntwo\npartial\n")
+    second = reader.latestOffset()
+    assert read(first, second) == [(8, 0, "partial")]
+    path.write_text("new\n")
+    assert read(second, reader.latestOffset()) == [(0, 1, "new")]
+
+
+def test_tail_streams(spark, tmp_path):
+    from convolake.streaming.tail import Tail
+
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n{"a": 2}\nrest')
+    spark.dataSource.register(Tail)
+    _drain(spark.readStream.format("tail").load(f"{tmp_path}/*.jsonl").writeStream.format("memory").queryName("tailed").trigger(availableNow=True).start())
+    assert sorted(r["line"] for r in spark.table("tailed").collect()) == ['{"a": 1}', '{"a": 2}']
