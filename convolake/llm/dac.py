@@ -14,11 +14,12 @@ for each but the last the bitmap of (n + 7) // 8 bytes and (n + 511) // 512
 directory entries of u32; at the end the documents' first tokens as u64, plus
 the total.
 
-Segments are rows of a Parquet table (pid, seq, doc_ids, payload): every store
+Segments are rows of a Parquet table (pid, seq, within,
+n_tokens, doc_ids, payload): every store
 that Spark writes to can hold it, and a lost executor's tasks are run anew under
 Spark's commit protocol.  Documents are dealt by ranges of doc_id, so (pid,
 seq) is the order of the table, nulls last; repeated doc_ids lie side by side,
-ordered by their ids.  A segment closes at ``SEGMENT_TOKENS``; one document
+ordered by a hash of their texts.  A segment closes at ``SEGMENT_TOKENS``; one document
 is never cut, and a longer one has a segment to itself.
 
 A null text counts as empty: it has the end id alone.  Other columns are
@@ -39,7 +40,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convolake.storage import fresh_path, keep, table
+from convolake.storage import fresh_path, table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -166,63 +167,53 @@ class Encoder:
         return b"".join([known[w] for w in words])
 
 
-def encode(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids): the text's ids and the end id, as little-endian u32 in a binary."""
+def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> None:
+    """Encode (doc_id, text) and write segments in ascending doc_id order.
 
-    @F.pandas_udf("binary")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder.load(path or public_tokenizers.path(VOCABULARY))
-        end = struct.pack("<I", end_id)
-        for texts in batches:
-            yield pd.Series([encoder.encode(t) + end for t in texts], dtype=object)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), of(F.col("text")).alias("ids"))
-
-
-def write(tokens: DataFrame, path: str, segment_tokens: int = SEGMENT_TOKENS) -> None:
-    """Write (doc_id, ids) as segments in ascending doc_id order."""
+    The texts are dealt out and sorted first, so that ids are made where they
+    are written and never shuffled.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seq, held, names, size = 0, [], [], 0
+        encoder = Encoder.load(vocabulary or public_tokenizers.path(VOCABULARY))
+        end = struct.pack("<I", end_id)
+        seq, within, held, names, size = 0, 0, [], [], 0
 
         def close() -> pd.DataFrame:
             firsts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in held])])
             payload = pack(np.frombuffer(b"".join(held), "<u4"), firsts)
-            row = {"pid": pid, "seq": seq, "n_tokens": size, "doc_ids": list(names), "payload": payload}
+            row = {"pid": pid, "seq": seq, "within": within, "n_tokens": size, "doc_ids": list(names), "payload": payload}
             return pd.DataFrame([row])
 
         for rows in batches:
             if not len(rows):
                 continue
             pid = int(rows["pid"].iloc[0])
-            for null, doc_id, ids in zip(rows["doc_id"].isna(), rows["doc_id"], rows["ids"], strict=True):
+            for null, doc_id, text in zip(rows["doc_id"].isna(), rows["doc_id"], rows["text"], strict=True):
+                ids = encoder.encode(text) + end
                 if held and size + len(ids) // 4 > segment_tokens:
                     yield close()
-                    seq, held, names, size = seq + 1, [], [], 0
+                    seq, within, held, names, size = seq + 1, within + size, [], [], 0
                 held.append(ids)
                 names.append(None if null else int(doc_id))
                 size += len(ids) // 4
         if held:
             yield close()
 
-    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("ids")]
-    dealt = tokens.repartitionByRange(parts, F.col("doc_id").asc_nulls_last(), F.xxhash64("ids"))
-    ranked = dealt.sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
-    ranked.mapInPandas(run, "pid int, seq int, n_tokens long, doc_ids array<long>, payload binary").write.option(
-        "compression", "none"
-    ).parquet(path)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    tie = F.xxhash64("text")
+    dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_last(), tie)
+    ranked = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), tie).withColumn("pid", F.spark_partition_id())
+    schema = "pid int, seq int, within long, n_tokens long, doc_ids array<long>, payload binary"
+    ranked.mapInPandas(run, schema).write.option("compression", "none").parquet(path)
 
 
 def starts(segments: DataFrame) -> DataFrame:
-    """(pid, seq, start): the tokens of all segments before each, by two small running sums."""
-    sizes = segments.select("pid", "seq", "n_tokens")
-    within = Window.partitionBy("pid").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    local = sizes.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
+    """(pid, base): the tokens of all partitions before each; one row a partition of the writing job."""
     ahead = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.groupBy("pid").agg(F.sum("n_tokens").alias("n"))
-    base = parts.select("pid", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    return local.join(base, "pid").select("pid", "seq", (F.col("within") + F.col("base")).alias("start"))
+    parts = segments.groupBy("pid").agg(F.sum("n_tokens").alias("n"))
+    return parts.select("pid", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
 
 
 def read(segments: DataFrame) -> DataFrame:
@@ -242,15 +233,17 @@ def read(segments: DataFrame) -> DataFrame:
                     }
                 )
 
-    offsets = keep(starts(segments), "starts")  # its size is known then, so a small one is broadcast
-    placed = segments.join(offsets, ["pid", "seq"]).select("start", "doc_ids", "payload")
-    return placed.mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
+    placed = segments.join(F.broadcast(starts(segments)), "pid")  # as many rows as the writing job had partitions
+    start = F.col("base") + F.col("within")
+    return placed.select(start.alias("start"), "doc_ids", "payload").mapInPandas(
+        run, "doc_id long, start long, n_tokens long, ids binary"
+    )
 
 
 def op4_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's ids, as read back from the files."""
     path = fresh_path(spark, "dac")
-    write(keep(encode(table(spark, sf_dir, "documents")), "ids"), path)
+    write(table(spark, sf_dir, "documents"), path)
     found = read(spark.read.parquet(path))
 
     @F.pandas_udf("long")
