@@ -30,8 +30,10 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +51,12 @@ CHUNK_BITS = 8
 BLOCK_BITS = 512
 CACHE_ENTRIES = 400_000
 CACHE_KEY = 48
+_MARK = re.compile(rb"(?<=[A-Za-z])(?=[!-&(-/:-@\[-`{-~])")
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_COMBINING = re.compile("[\u0300-\u036f]")
+#: Byte-level vocabularies write printable bytes as themselves and the others as U+0100 and on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
@@ -142,29 +150,60 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self._words: dict[bytes, bytes] = {}
+        self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     @classmethod
     @functools.cache
     def load(cls, path: str) -> Encoder:
         return cls(path)
 
+    def _words(self, text: str) -> list[bytes]:
+        """The text's words, cut before ASCII punctuation that follows an ASCII letter.
+
+        The vocabulary starts anew there.  It ignores case, too, so words are
+        remembered in lower case; only where combining marks may change what a
+        capital is composed to is the case left alone.
+        """
+        try:
+            text.encode("latin-1")
+            raw = text.lower().encode()
+        except UnicodeEncodeError:
+            raw = text.encode("utf-8", "replace")
+            raw = raw if _COMBINING.search(text) else raw.lower()
+        return _MARK.sub(b" ", raw).split()
+
+    def _ask(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The library's ids for words.  Runs of lower-case letters need no normalizing and go straight to its model."""
+        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        tokenize = self.library.model.tokenize
+        ids = {w: array("I", [t.id for t in tokenize(w.decode("latin-1").translate(_BYTE_LEVEL))]).tobytes() for w in plain}
+        if len(plain) < len(words):
+            rest = [w for w in words if w not in ids]
+            found = self.library.encode([w.decode() for w in rest], is_pretokenized=True, add_special_tokens=False)
+            every = np.array(found.ids, "<u4")
+            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(rest) + 1)).tolist()
+            ids.update((w, every[i:j].tobytes()) for w, i, j in zip(rest, ends, ends[1:], strict=False))
+        return ids
+
     def encode(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8", "replace").split()
-        known = self._words
-        fresh = list({w for w in words if w not in known})
+        """The ids of a text as little-endian u32."""
+        words = self._words(text or "")
+        known = self._known
+        fresh = set(words).difference(known)
         if fresh:
-            if len(known) + len(fresh) > CACHE_ENTRIES:
-                known.clear()
-                fresh = list(set(words))
-            found = self.library.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            ids = {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(fresh, found, strict=True)}
-            if all(len(w) <= CACHE_KEY for w in fresh):
-                known.update(ids)
-            else:
-                known.update((w, i) for w, i in ids.items() if len(w) <= CACHE_KEY)
-                known = known | ids
-        return b"".join([known[w] for w in words])
+            if len(known) + len(fresh) > CACHE_ENTRIES:  # what is still in use comes back from the older half
+                self._older, self._known = known, {}
+                known, fresh = self._known, set(words)
+            older = self._older
+            known.update([(w, older[w]) for w in fresh if w in older])
+            known.update(self._ask([w for w in fresh if w not in known]))
+            joined = b"".join(map(known.__getitem__, words))
+            for w in fresh:
+                if len(w) > CACHE_KEY:
+                    del known[w]
+            return joined
+        return b"".join(map(known.__getitem__, words))
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> None:
