@@ -20,8 +20,8 @@ row) stays, null doc_ids last.
    being shuffled.
 3. Union-find by stars over the links gives components.  Members of one bucket
    whose components still differ are compared with each other in the same way,
-   so no link hangs on how good a pivot is, and pairs of one component are never
-   written.
+   block by block within tasks, so no link hangs on how good a pivot is, and
+   neither pairs of one component nor those that aren't alike are ever written.
 4. Names with their components meet the places of lines; every place but the
    component's first is dropped.
 
@@ -47,6 +47,8 @@ SHINGLE = 8
 SIMILARITY = 0.8
 BANDS = 10
 ROWS = 4
+#: Members of a bucket that are compared with as many others at a time.
+BLOCK_ROWS = 256
 #: Orders of names in which a bucket's first one is its pivot.
 PIVOTS = 2
 #: Bits of a sketch, of which lines at the threshold differ in 25.6 on average, with a deviation of 4.8, and the most to differ in.
@@ -220,6 +222,59 @@ def _close(a: str, b: str) -> F.Column:
     return functools.reduce(lambda x, y: x + y, bits) <= SKETCH_MISSES
 
 
+def _across(mixed: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one bucket with different roots.
+
+    Members are cut in blocks of about ``BLOCK_ROWS``, and every two blocks of
+    a bucket are compared within a task, which gives the links alone.  A
+    pair that shares several buckets is compared in the first of them only, and
+    not at all if its roots have met in the same two blocks before.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS)
+    cut = mixed.withColumn("block", F.pmod(F.xxhash64("name", F.lit(5)), blocks).cast("int"))
+    each = cut.withColumn("_t", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
+    dealt = each.withColumn("i", F.least("block", "_t")).withColumn("j", F.greatest("block", "_t"))
+    columns = ["band", "i", "j", "block", "name", "root", "line", "sketch", "bands"]
+
+    def compared(rows: list[tuple]) -> list[tuple[int, int]]:
+        band, i, j = rows[0][:3]
+        bits = np.unpackbits(np.array([r[7] for r in rows], np.int64).view(np.uint8), axis=1).astype(np.float32)
+        ones = bits.sum(1)
+        apart = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
+        parent = {r[5]: r[5] for r in rows}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        found = []
+        for x, y in zip(*np.nonzero(np.triu(apart <= SKETCH_MISSES, 1)), strict=True):
+            a, b = rows[x], rows[y]
+            if (i != j and a[3] == b[3]) or (r := find(a[5])) == (t := find(b[5])):
+                continue
+            if min(set(a[8]) & set(b[8])) == band and jaccard(a[6], b[6]) >= SIMILARITY:
+                parent[r] = t
+                found.append((a[4], b[4]))
+        return found
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for pdf in batches:
+            out = []
+            for row in pdf[columns].itertuples(index=False, name=None):
+                if held and row[:3] != held[0][:3]:
+                    out += compared(held)
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        if held:
+            yield pd.DataFrame(compared(held), columns=["a", "b"]).astype("int64")
+
+    ordered = dealt.select(*columns).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return ordered.mapInPandas(run, "a long, b long")
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (row, doc_id, place, name) of ``docs`` (row, doc_id, text), and (name, root) of names that have a link."""
     schema = "row long, doc_id long, place int, name long, bands array<long>"
@@ -237,13 +292,12 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = pairs.distinct().join(left, "a").join(right, "b").filter(_close("a_sketch", "b_sketch")).select("a", "b")
     roots = keep(components(_verified(near, texts)), "roots")
 
-    known = shelves.select("band", "name").distinct().join(roots.withColumnRenamed("id", "name"), "name", "left")
-    told = known.select("band", "name", F.coalesce("root", "name").alias("root"))
-    unlike = told.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    mixed = keep(told.join(unlike, "band", "left_semi").join(sketches, "name"), "mixed")
-    other = mixed.select("band", F.col("name").alias("b"), F.col("root").alias("b_root"), F.col("sketch").alias("b_sketch"))
-    across = mixed.join(other, "band").filter((F.col("name") < F.col("b")) & (F.col("root") != F.col("b_root")) & _close("sketch", "b_sketch"))
-    later = _verified(across.select(F.col("name").alias("a"), "b").distinct(), texts)
+    known = shelves.join(roots.withColumnRenamed("id", "name"), "name", "left")
+    told = known.select("band", "name", F.coalesce("root", "name").alias("root")).distinct()
+    unlike = told.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
+    marks = shelves.groupBy("name").agg(F.collect_set("band").alias("bands"))
+    mixed = told.join(unlike.filter("lo < hi").select("band", "n"), "band").join(texts.join(marks, "name"), "name")
+    later = keep(_across(mixed), "later")
     ends = [roots.select(F.col("id").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab"]
     joined = later.join(ends[0], "a", "left").join(ends[1], "b", "left")
     contracted = joined.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
