@@ -141,7 +141,8 @@ class Encoder:
 
     The vocabulary's normalizer and patterns never join anything across white
     space, so a text's ids are its words' ids; a worker asks the library once
-    for each word it hasn't seen lately.
+    for each word it hasn't seen lately.  The vocabulary's added tokens are found
+    in the text as it is, before anything else, and have their own ids.
     """
 
     def __init__(self, path: str) -> None:
@@ -149,7 +150,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self._added = {t: struct.pack("<I", i) for t, i in added.items()}
+        self._cuts = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True))) or '(?!)'})")
         self._known: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}
 
@@ -188,7 +191,14 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian u32."""
-        words = self._words(text or "")
+        parts = self._cuts.split(text or "")
+        if len(parts) == 1:
+            return self._between(parts[0])
+        return b"".join([self._added[part] if k % 2 else self._between(part) for k, part in enumerate(parts)])
+
+    def _between(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
+        words = self._words(text)
         known = self._known
         fresh = set(words).difference(known)
         if fresh:

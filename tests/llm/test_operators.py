@@ -197,6 +197,25 @@ def test_op4_words_agree_with_the_library():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
 
 
+def test_op4_added_tokens_agree_with_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(dac.VOCABULARY)
+    library, encoder, rnd = Tokenizer.from_file(path), dac.Encoder(path), random.Random(8)
+    assert library.encode("one <|endoftext|> two", add_special_tokens=False).ids == [637, 49407, 1237]
+    parts = ["<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<", "One", " ", "é", "\u0338", "\n", "7", "İ"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randrange(9))) for _ in range(1500)]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    spark.createDataFrame(list(enumerate(texts[:50])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected, start = [], 0
+    for doc_id, text in enumerate(texts[:50]):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 1]
+        expected.append((doc_id, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        start += len(ids)
+    assert _collect(dac.op4_dac(spark, str(tmp_path))) == sorted(expected, key=repr)
+
+
 @pytest.mark.parametrize("top", [1, 200, 70_000, 1 << 31])
 def test_op4_random_access(top):
     rnd = np.random.default_rng(top)
