@@ -70,7 +70,8 @@ def range_join_cover(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn")
     begins = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", F.col("turn").alias("lo"))
     after = F.lead("lo").over(Window.partitionBy("conv_id").orderBy("lo"))
-    spans = begins.withColumn("hi", F.coalesce(after - 1, F.lit(1_000).cast("long"))).withColumn("chunk", F.col("lo"))
+    ends = rows.groupBy("conv_id").agg(F.max("turn").alias("end"))
+    spans = begins.withColumn("after", after).join(ends, "conv_id").withColumn("hi", F.coalesce(F.col("after") - 1, "end")).withColumn("chunk", F.col("lo"))
     return J.covering(rows, "conv_id", "turn", spans, "lo", "hi", "chunk", 16)
 
 

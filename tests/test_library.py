@@ -314,3 +314,14 @@ def test_tail_streams(spark, tmp_path):
     spark.dataSource.register(Tail)
     _drain(spark.readStream.format("tail").load(f"{tmp_path}/*.jsonl").writeStream.format("memory").queryName("tailed").trigger(availableNow=True).start())
     assert sorted(r["line"] for r in spark.table("tailed").collect()) == ['{"a": 1}', '{"a": 2}']
+
+
+def test_range_join_cover_in_a_long_conversation(spark, tmp_path):
+    from convolake.plans.maintenance import range_join_cover
+
+    users = {1: [3, 40, 700], 2: [5, 2500], 3: []}
+    rows = [(c, t, "user" if t in users[c] else "assistant", "x") for c in users for t in range(3000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = sorted((c, t, max((u for u in users[c] if u <= t), default=-1)) for c, t, *_ in rows)
+    got = range_join_cover(spark, str(tmp_path)).select("conv_id", "turn", F.coalesce("chunk", F.lit(-1)))
+    assert sorted(map(tuple, got.collect())) == want
