@@ -13,9 +13,8 @@ row) stays, null doc_ids last.
    probability of 0.995, one at 0.9 with 0.99998.  Two of n different lines
    get one name with a probability of n * n / 4e19.
 2. Each band bucket has a pivot, the first in one of ``PIVOTS`` orders by its
-   band; members are compared with it, first by sketches of one bit of ``SKETCH_BITS`` further
-   MinHash values (a pair at the threshold passes with 0.9998), then by exact
-   Jaccard.  Texts are fetched for lines in buckets of two or more: a Bloom
+   band; members are compared with it by exact Jaccard, unless their numbers of
+   shingles alone put the threshold out of reach.  Texts are fetched for lines in buckets of two or more: a Bloom
    filter of fixed size, made by bitwise aggregation, keeps the others from
    being shuffled.
 3. Union-find by stars over the links gives components.  Members of one bucket
@@ -43,7 +42,8 @@ from pyspark.sql import functions as F
 from convolake.llm.components import components
 from convolake.storage import keep, table
 
-SHINGLE = 8
+#: One substituted character removes as many shingles: lines of 49 characters or more stay alike.
+SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 10
 ROWS = 4
@@ -51,15 +51,12 @@ ROWS = 4
 BLOCK_ROWS = 256
 #: Orders of names in which a bucket's first one is its pivot.
 PIVOTS = 2
-#: Bits of a sketch, of which lines at the threshold differ in 25.6 on average, with a deviation of 4.8, and the most to differ in.
-SKETCH_BITS = 256
-SKETCH_MISSES = 43
 #: Bits of the Bloom filter, and characters that are hashed at a time.
 FILTER_BITS = 1 << 26
 CHUNK_CHARS = 1 << 18
 SEEN_NAMES = 500_000
 _RNG = np.random.default_rng(11)
-_FACTORS = (_RNG.integers(0, 1 << 32, BANDS * ROWS + SKETCH_BITS, dtype=np.uint64).astype(np.uint32) | 1).tolist()
+_FACTORS = (_RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | 1).tolist()
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -78,7 +75,7 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     h = (codes + np.uint64(1)) * _M1
-    for width, factor in ((1, _M2), (2, _M3), (4, _M1)):
+    for width, factor in ((1, _M2), (2, _M3), (1, _M1)):  # 2, 4 and 5 characters
         h = h[:-width] * factor + h[width:]
         h ^= h >> np.uint64(31)
     lengths = np.array([len(x) for x in padded])
@@ -105,17 +102,6 @@ def band_hashes(lines: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketches(lines: list[str]) -> np.ndarray:
-    """A row of ``SKETCH_BITS`` bits, as signed 64-bit numbers, for each line: one bit of each of as many MinHash values."""
-    h, firsts = shingle_hashes(lines)
-    x = ((h * _M3) >> np.uint64(32)).astype(np.uint32)
-    bits = np.zeros((SKETCH_BITS, len(lines)), np.uint8)
-    for k in range(SKETCH_BITS):
-        least = np.minimum.reduceat(x * np.uint32(_FACTORS[BANDS * ROWS + k]), firsts)
-        bits[k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
-    return np.packbits(bits, axis=0, bitorder="little").T.copy().view(np.int64)
-
-
 def _chunks(lines: list[str]) -> list[tuple[int, int]]:
     """Ranges of lines with about ``CHUNK_CHARS`` characters each."""
     found, at, size = [], 0, 0
@@ -173,14 +159,21 @@ def _filter_bits(names: DataFrame) -> bytes:
     bit = F.pmod("name", F.lit(FILTER_BITS))
     flag = F.expr("shiftleft(1L, cast(bit % 64 AS int))")
     words = names.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(flag).alias("bits"))
-    found = words.toPandas()  # FILTER_BITS / 64 rows at most
-    held = np.zeros(FILTER_BITS // 64, np.int64)
-    held[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return held.tobytes()
+
+    def packed(found: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(1024, np.int64)
+        held[found["word"].to_numpy(np.int64) % 1024] = found["bits"].to_numpy(np.int64)
+        return pd.DataFrame({"part": [int(found["word"].iloc[0]) // 1024], "held": [held.tobytes()]})
+
+    parts = words.groupBy(F.shiftright("word", 10)).applyInPandas(packed, "part int, held binary")
+    whole = bytearray(FILTER_BITS // 8)
+    for r in parts.toLocalIterator():  # FILTER_BITS / 65,536 rows of 8 KB at most
+        whole[r["part"] * 8192 : (r["part"] + 1) * 8192] = r["held"]
+    return bytes(whole)
 
 
 def _texts(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, line) of the lines that ``names`` lists."""
+    """(name, line, size) of the lines that ``names`` lists; size is the number of different shingles."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(names))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,11 +189,10 @@ def _texts(docs: DataFrame, names: DataFrame) -> DataFrame:
                         out.append((this, line))
             if len(seen) > SEEN_NAMES:
                 seen.clear()
-            marks = [sketches([x for _, x in out[i:j]]) for i, j in _chunks([x for _, x in out])]
             frame = pd.DataFrame(out, columns=["name", "line"]).astype({"name": "int64"})
-            yield frame.assign(sketch=[m for part in marks for m in part])
+            yield frame.assign(size=[len(shingles(x)) for _, x in out]).astype({"size": "int32"})
 
-    found = docs.select("text").mapInPandas(run, "name long, line string, sketch array<long>")
+    found = docs.select("text").mapInPandas(run, "name long, line string, size int")
     return found.join(names, "name", "left_semi").dropDuplicates(["name"])
 
 
@@ -211,15 +203,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y) >= SIMILARITY for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    left = texts.select(F.col("name").alias("a"), F.col("line").alias("a_line"))
-    right = texts.select(F.col("name").alias("b"), F.col("line").alias("b_line"))
-    return pairs.join(left, "a").join(right, "b").filter(alike("a_line", "b_line")).select("a", "b")
-
-
-def _close(a: str, b: str) -> F.Column:
-    """Whether two sketches differ by few enough bits."""
-    bits = [F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))) for k in range(SKETCH_BITS // 64)]
-    return functools.reduce(lambda x, y: x + y, bits) <= SKETCH_MISSES
+    left, right = (texts.select(*[F.col(c).alias(x if c == "name" else f"{x}_{c}") for c in ("name", "line", "size")]) for x in "ab")
+    within = F.least("a_size", "b_size") / F.greatest("a_size", "b_size") >= SIMILARITY  # Jaccard is no more than this
+    return pairs.join(left, "a").join(right, "b").filter(within).filter(alike("a_line", "b_line")).select("a", "b")
 
 
 def _across(mixed: DataFrame) -> DataFrame:
@@ -234,28 +220,34 @@ def _across(mixed: DataFrame) -> DataFrame:
     cut = mixed.withColumn("block", F.pmod(F.xxhash64("name", F.lit(5)), blocks).cast("int"))
     each = cut.withColumn("_t", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
     dealt = each.withColumn("i", F.least("block", "_t")).withColumn("j", F.greatest("block", "_t"))
-    columns = ["band", "i", "j", "block", "name", "root", "line", "sketch", "bands"]
+    columns = ["band", "i", "j", "block", "name", "root", "line", "size", "bands"]
 
     def compared(rows: list[tuple]) -> list[tuple[int, int]]:
         band, i, j = rows[0][:3]
-        bits = np.unpackbits(np.array([r[7] for r in rows], np.int64).view(np.uint8), axis=1).astype(np.float32)
-        ones = bits.sum(1)
-        apart = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
+        sizes, of = np.array([r[7] for r in rows]), np.array([r[3] for r in rows])
+        within = np.minimum.outer(sizes, sizes) / np.maximum.outer(sizes, sizes) >= SIMILARITY
+        if i != j:
+            within &= of[:, None] != of[None, :]
+        bands = [frozenset(r[8]) for r in rows]
+        sets: dict[int, frozenset[str]] = {}
         parent = {r[5]: r[5] for r in rows}
 
         def find(x: int) -> int:
             while parent[x] != x:
-                x = parent[x]
+                parent[x] = x = parent[parent[x]]
             return x
 
         found = []
-        for x, y in zip(*np.nonzero(np.triu(apart <= SKETCH_MISSES, 1)), strict=True):
-            a, b = rows[x], rows[y]
-            if (i != j and a[3] == b[3]) or (r := find(a[5])) == (t := find(b[5])):
+        for x, y in zip(*(k.tolist() for k in np.nonzero(np.triu(within, 1))), strict=True):
+            if (r := find(rows[x][5])) == (t := find(rows[y][5])) or min(bands[x] & bands[y]) != band:
                 continue
-            if min(set(a[8]) & set(b[8])) == band and jaccard(a[6], b[6]) >= SIMILARITY:
+            for k in (x, y):
+                if k not in sets:
+                    sets[k] = shingles(rows[k][6])
+            both = len(sets[x] & sets[y])
+            if both / (len(sets[x]) + len(sets[y]) - both) >= SIMILARITY:
                 parent[r] = t
-                found.append((a[4], b[4]))
+                found.append((rows[x][4], rows[y][4]))
         return found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,21 +274,18 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     in_bucket = Window.partitionBy("band")
     shelved = all_lines.filter("bands IS NOT NULL").select("name", F.explode("bands").alias("band"))
     pivot = F.min(F.struct(F.xxhash64("name", F.pmod("band", F.lit(PIVOTS))), "name")).over(in_bucket)["name"]
-    several = F.min("name").over(in_bucket) < F.max("name").over(in_bucket)
-    shelves = keep(shelved.withColumns({"pivot": pivot, "several": several}).filter("several").drop("several"), "shelves")
+    shared = F.min("name").over(in_bucket) < F.max("name").over(in_bucket)
+    shelves = keep(shelved.withColumns({"pivot": pivot, "shared": shared}).filter("shared").drop("shared"), "shelves")
     texts = keep(_texts(docs, shelves.select("name").distinct()), "texts")
-    sketches = texts.select("name", "sketch")
-
     pairs = shelves.filter("name <> pivot").select(F.least("name", "pivot").alias("a"), F.greatest("name", "pivot").alias("b"))
-    left, right = (sketches.select(F.col("name").alias(x), F.col("sketch").alias(f"{x}_sketch")) for x in "ab")
-    near = pairs.distinct().join(left, "a").join(right, "b").filter(_close("a_sketch", "b_sketch")).select("a", "b")
-    roots = keep(components(_verified(near, texts)), "roots")
+    roots = keep(components(_verified(pairs.distinct(), texts)), "roots")
 
     known = shelves.join(roots.withColumnRenamed("id", "name"), "name", "left")
     told = known.select("band", "name", F.coalesce("root", "name").alias("root")).distinct()
     unlike = told.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
     marks = shelves.groupBy("name").agg(F.collect_set("band").alias("bands"))
-    mixed = told.join(unlike.filter("lo < hi").select("band", "n"), "band").join(texts.join(marks, "name"), "name")
+    several = unlike.filter("lo < hi AND n > 2")  # where there are two, the other has met the pivot
+    mixed = told.join(several.select("band", "n"), "band").join(texts.join(marks, "name"), "name")
     later = keep(_across(mixed), "later")
     ends = [roots.select(F.col("id").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab"]
     joined = later.join(ends[0], "a", "left").join(ends[1], "b", "left")

@@ -290,6 +290,18 @@ def test_op6_places_each_row_by_its_slot(spark, sf_dir, rows):
         assert (r["slot"], r["shard"]) == (slot, slots[slot])
 
 
+def test_op7_links_lines_after_one_substitution(spark, tmp_path):
+    rnd = random.Random(12)
+    lines = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(60)).strip() + "end of it" for _ in range(40)]
+    assert all(len(line_dedup.normal(x)) > 49 for x in lines)
+    near = [x[:30] + "#" + x[31:] for x in lines]
+    docs = [(1, "\n".join(lines)), (2, "\n".join(near))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["dropped_lines"] for r in line_dedup.op7_line_dedup(spark, str(tmp_path)).collect()}
+    alike = [k for k, (a, b) in enumerate(zip(lines, near, strict=True)) if line_dedup.jaccard(*map(line_dedup.normal, (a, b))) >= 0.8]
+    assert len(alike) > 30 and found == {1: [], 2: alike}
+
+
 def test_op7_agrees_with_all_pairs(spark, sf_dir, rows):
     ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
     lines = [(n, place, line) for n, r in enumerate(ordered) for place, line in line_dedup._lines(r[1])]
