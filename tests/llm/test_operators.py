@@ -424,3 +424,13 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7), (None, 3)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(41)} | {100 + k: 100 for k in range(50)}
+
+
+def test_op10_one_row_of_each_component_where_doc_ids_repeat(spark):
+    rnd = random.Random(21)
+    a, b, c, d = (" ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(300)) for _ in range(4))
+    same = b.upper()  # the same fingerprint as b
+    assert simhash.fingerprint(b) == simhash.fingerprint(same)
+    rows = [(5, "zz " + a), (5, b), (2, same), (7, c), (7, d), (7, d), (None, "x"), (None, "x"), (9, None), (8, "")]
+    found = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted([(5, "zz " + a), (2, same), (7, c), (7, d), (None, "x"), (8, "")], key=repr)
