@@ -9,34 +9,41 @@ row) stays, null doc_ids last.
 
 1. Where the documents lie, each line gets a 64-bit name (a hash of the line as
    it is compared) and, once in a worker's partition, ``BANDS`` band hashes of
-   ``ROWS`` MinHash values: a pair at the threshold shares a band with a
-   probability of 0.995, one at 0.9 with 0.99998.  Two of n different lines
-   get one name with a probability of n * n / 4e19.
-2. Each band bucket has a pivot, the first in one of ``PIVOTS`` orders by its
-   band; members are compared with it by exact Jaccard, unless their numbers of
-   shingles alone put the threshold out of reach.  Texts are fetched for lines in buckets of two or more: a Bloom
-   filter of fixed size, made by bitwise aggregation, keeps the others from
-   being shuffled.
+   ``ROWS`` MinHash values each: a pair at the threshold shares a band with a
+   probability of 0.992, one at 0.85 with 0.9995, one at 0.9 with 0.99999.
+   Two of n different lines get one name with a probability of n * n / 4e19.
+2. Names are sorted by band.  The first of a bucket in one of ``PIVOTS`` orders
+   is its pivot, and all others are compared with it by exact Jaccard, unless
+   their numbers of shingles alone put the threshold out of reach.  Bands that
+   so many rows share that they would weigh down a task are dealt by name as
+   well, and the pivots of their parts are compared with each other.
+   Texts are fetched for compared lines alone: a Bloom filter whose size
+   follows their number keeps the others from being shuffled.
 3. Union-find by stars over the links gives components.  Members of one bucket
-   whose components still differ are compared with each other in the same way,
-   block by block within tasks, so no link hangs on how good a pivot is, and
-   neither pairs of one component nor those that aren't alike are ever written.
-4. Names with their components meet the places of lines; every place but the
-   component's first is dropped.
+   whose components still differ are compared with each other, block against
+   block within tasks by products of their shingle matrices, so no link hangs
+   on how good a pivot is, and neither pairs of one component nor those that
+   aren't alike are ever written.
+4. Lines whose name occurs twice or has a link get their component; its first
+   line is found by partial aggregation, and all others are dropped.
 
 Null and empty texts have no lines to drop.  Repeated rows are documents of
-their own, told apart by their place in the scan.  Extra columns pass through.
+their own, told apart by their place in the scan.  A table without rows gives
+none.  Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
+import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolake.llm.components import components
@@ -45,19 +52,32 @@ from convolake.storage import keep, table
 #: One substituted character removes as many shingles: lines of 49 characters or more stay alike.
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 10
-ROWS = 4
-#: Members of a bucket that are compared with as many others at a time.
-BLOCK_ROWS = 256
+BANDS = 16
+ROWS = 6
+#: Members of a bucket that are compared with as many others at a time, and columns of a product.
+BLOCK_ROWS = 1024
+BLOCK_COLUMNS = 4096
 #: Orders of names in which a bucket's first one is its pivot.
 PIVOTS = 2
-#: Bits of the Bloom filter, and characters that are hashed at a time.
-FILTER_BITS = 1 << 26
-CHUNK_CHARS = 1 << 18
+#: Bands fall in ``SLOTS`` slots; one with ``HOT_ROWS`` rows more than four times the mean is dealt in ``SALTS`` parts.
+SLOTS = 4096
+HOT_ROWS = 100_000
+SALTS = 64
+#: A name that holds more than one in ``FREQUENT`` of all lines is one of a broadcast table.
+FREQUENT = 1000
+#: Bits of the Bloom filter for each name in it, up to 32 MB in all; a fuller one keeps fewer lines back.
+FILTER_BITS_EACH = 16
+FILTER_BITS_LEAST, FILTER_BITS_MOST = 1 << 20, 1 << 28
+CHUNK_CHARS = 1 << 16
 SEEN_NAMES = 500_000
+#: Rounds in which shingles are thrown into a sketch's bins; what is empty after them takes a minimum of its own.
+ROUNDS = 24
+_BINS = BANDS * ROWS
 _RNG = np.random.default_rng(11)
-_FACTORS = (_RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | 1).tolist()
-_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_THROW, _VALUE = (_RNG.integers(0, 1 << 32, ROUNDS + _BINS, dtype=np.uint64).astype(np.uint32) | np.uint32(1) for _ in "ab")
+_MIX = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
+_FOLD = np.uint64(0x9E3779B97F4A7C15)
+_SPACES = [c for c in map(chr, range(sys.maxunicode)) if c.isspace() and c not in " \n"]
 
 
 def normal(line: str) -> str:
@@ -67,50 +87,93 @@ def normal(line: str) -> str:
 
 def name(line: str) -> int:
     """The name of a line as it is compared: a signed 64-bit hash."""
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+    value = xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace"), 7)
+    return value - (1 << 64) if value >> 63 else value
 
 
-def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all shingles, and where each line's begin; no line is empty."""
+def _lines(text: str | None) -> list[tuple[int, str]]:
+    """(place, line) of a text's lines as they are compared, without blank ones."""
+    text = (text or "").lower()
+    odd = any(c in text for c in _SPACES)
+    parts = [" ".join(x.split()) if odd or "  " in x else x.strip(" ") for x in text.split("\n")]
+    return [(i, x) for i, x in enumerate(parts) if x]
+
+
+def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all lines side by side, short ones filled up to a shingle, and their lengths."""
     padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    h = (codes + np.uint64(1)) * _M1
-    for width, factor in ((1, _M2), (2, _M3), (1, _M1)):  # 2, 4 and 5 characters
-        h = h[:-width] * factor + h[width:]
-        h ^= h >> np.uint64(31)
-    lengths = np.array([len(x) for x in padded])
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32)
+    return codes, np.array([len(x) for x in padded])
+
+
+def _whole(lengths: np.ndarray) -> np.ndarray:
+    """Which windows of ``SHINGLE`` characters lie in one line."""
+    mask = np.ones(int(lengths.sum()), bool)
     ends = np.cumsum(lengths)
-    mask = np.ones(len(codes), bool)
     for back in range(1, SHINGLE):
         mask[ends - back] = False
-    counts = lengths - SHINGLE + 1
-    return h[mask[: len(h)]], np.concatenate([[0], np.cumsum(counts)[:-1]])
+    return mask[: len(mask) - SHINGLE + 1]
 
 
 def band_hashes(lines: list[str]) -> np.ndarray:
-    """A row of ``BANDS`` signed 64-bit hashes for each line."""
-    h, firsts = shingle_hashes(lines)
-    x = ((h * _M2) >> np.uint64(32)).astype(np.uint32)
-    out = np.zeros((len(lines), BANDS), np.uint64)
-    for band in range(BANDS):
-        value = np.full(len(lines), band + 1, np.uint64)
-        for k in range(band * ROWS, band * ROWS + ROWS):
-            least = np.minimum.reduceat(x * np.uint32(_FACTORS[k]), firsts)
-            value = (value ^ least) * _M1
-            value ^= value >> np.uint64(29)
-        out[:, band] = value
+    """A row of ``BANDS`` signed 64-bit hashes for each line; no line is empty.
+
+    A sketch has a bin for each MinHash value.  In each round every shingle is
+    thrown in one bin with a value, earlier rounds before later ones, and a bin
+    holds its least.  So a bin is equal in two lines as often as their shingles
+    overlap, and long lines need one round.
+    """
+    codes, lengths = _codes(lines)
+    h = (codes + np.uint32(1)) * _MIX[0]
+    for width, factor in ((1, _MIX[1]), (2, _MIX[2]), (1, _MIX[3])):  # 2, 4 and 5 characters
+        h ^= h >> np.uint32(15)
+        h = h[:-width] * factor + h[width:]
+    h ^= h >> np.uint32(16)
+    x = h[_whole(lengths)]
+    counts = lengths - SHINGLE + 1
+    base = np.repeat(np.arange(len(lines)) * _BINS, counts)
+    sketch = np.full(len(lines) * _BINS, 0xFFFFFFFF, np.uint32)
+    empty = np.ones(len(lines), bool)
+    for k in range(ROUNDS):
+        if k:
+            empty = (sketch.reshape(-1, _BINS) == 0xFFFFFFFF).any(axis=1)
+            if not empty.any():
+                break
+            still = np.repeat(empty, counts)
+            x, base, counts = x[still], base[still], np.where(empty, counts, 0)
+        g = x * _THROW[k]
+        g ^= g >> np.uint32(15)
+        at = base + (((g >> np.uint32(16)) * np.uint32(_BINS)) >> np.uint32(16))
+        np.minimum.at(sketch, at, ((x * _VALUE[k]) >> np.uint32(6)) | np.uint32(k << 26))
+    rows = sketch.reshape(-1, _BINS)
+    if (rows == 0xFFFFFFFF).any():
+        firsts = np.cumsum(counts) - counts
+        short = np.flatnonzero(counts)
+        for b in range(_BINS):
+            if (rows[short, b] == 0xFFFFFFFF).any():
+                least = np.minimum.reduceat((x * _VALUE[ROUNDS + b]) >> np.uint32(6), firsts[short]) | np.uint32(ROUNDS << 26)
+                rows[short, b] = np.minimum(rows[short, b], least)
+    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(lines), 1))
+    for k in range(ROWS):
+        out = (out ^ rows[:, k::ROWS]) * _FOLD
+        out ^= out >> np.uint64(29)
     return out.view(np.int64)
 
 
-def _chunks(lines: list[str]) -> list[tuple[int, int]]:
-    """Ranges of lines with about ``CHUNK_CHARS`` characters each."""
-    found, at, size = [], 0, 0
-    for k, line in enumerate(lines):
-        if k > at and size + len(line) > CHUNK_CHARS:
-            found.append((at, k))
-            at, size = k, 0
-        size += len(line)
-    return [*found, (at, len(lines))] if lines else []
+def _chunks(lines: list[str]) -> list[np.ndarray]:
+    """Numbers of lines in groups of about ``CHUNK_CHARS`` characters, lines of one length side by side."""
+    lengths = np.array([len(x) for x in lines], np.int64)
+    order = np.argsort(lengths, kind="stable")
+    cuts = np.cumsum(lengths[order]) // CHUNK_CHARS
+    return np.split(order, np.flatnonzero(np.diff(cuts)) + 1) if lines else []
+
+
+def _all_bands(lines: list[str]) -> np.ndarray:
+    """``band_hashes`` of any number of lines, some at a time."""
+    out = np.zeros((len(lines), BANDS), np.int64)
+    for some in _chunks(lines):
+        out[some] = band_hashes([lines[k] for k in some])
+    return out
 
 
 @functools.lru_cache(256)  # a pivot's many pairs lie side by side
@@ -126,37 +189,93 @@ def jaccard(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def _lines(text: str | None) -> list[tuple[int, str]]:
-    return [(i, n) for i, line in enumerate((text or "").split("\n")) if (n := normal(line))]
-
+def incidence(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line number, shingle) of every different shingle of each line, in order, and the lines' numbers of them.
 
-def _named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(row, doc_id, place, name, bands) of each line; bands are null once the name has been seen."""
+    Characters are numbered within the block, so that a shingle is one number
+    without any hashing.
+    """
+    codes, lengths = _codes(lines)
+    used = np.zeros(int(codes.max()) + 1, bool)
+    used[codes] = True
+    at = (np.cumsum(used) - 1)[codes]
+    bits = int(at.max()).bit_length() or 1
+    n = len(at) - SHINGLE + 1
+    if bits * SHINGLE < 64:
+        key = np.zeros(n, np.int64)
+        for k in range(SHINGLE):
+            key = (key << bits) | at[k : n + k]
+    else:
+        key = np.unique(np.stack([at[k : n + k] for k in range(SHINGLE)], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+    key = key[_whole(lengths)]
+    line = np.repeat(np.arange(len(lines)), lengths - SHINGLE + 1)
+    room = int(key.max()).bit_length()
+    if room + len(lines).bit_length() < 64:
+        both = np.sort((line << room) | key)
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+        line, key = both >> room, both & ((1 << room) - 1)
+    else:
+        order = np.lexsort((key, line))
+        line, key = line[order], key[order]
+        new = np.concatenate([[True], (line[1:] != line[:-1]) | (key[1:] != key[:-1])])
+        line, key = line[new], key[new]
+    return line, key, np.bincount(line, minlength=len(lines))
+
+
+def overlaps(lines: list[str], split: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles each of the first ``split`` lines shares with each line after them, and all lines' numbers of shingles.
+
+    With ``split`` 0 all lines are compared with all others.
+    """
+    line, key, sizes = incidence(lines)
+    order = np.argsort(key, kind="stable")
+    line, key = line[order], key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    times = np.diff(np.append(np.flatnonzero(new), len(key)))
+    often = np.repeat(times > 1, times)  # other shingles are shared with none
+    line, number = line[often], (np.cumsum(new & often) - 1)[often]
+    left = slice(0, split) if split else slice(0, len(lines))
+    shared = np.zeros((split or len(lines), len(lines) - split))
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, BLOCK_COLUMNS):
+        lo, hi = np.searchsorted(number, [at, at + BLOCK_COLUMNS])
+        part = np.zeros((len(lines), BLOCK_COLUMNS), np.float32)
+        part[line[lo:hi], number[lo:hi] - at] = 1
+        shared += part[left] @ part[split:].T
+    return shared, sizes
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document: the names of its lines by place, and bands of those that the worker hasn't seen lately."""
     seen: set[int] = set()
-    for rows in batches:
-        row_ids, docs, places, names, fresh = [], [], [], [], []
-        for row, doc_id, text in zip(rows["row"], rows["doc_id"], rows["text"], strict=True):
-            for place, line in _lines(text):
-                row_ids.append(row)
-                docs.append(doc_id)
-                places.append(place)
-                names.append(this := name(line))
+    for batch in batches:
+        names, n_lines, fresh, lines = [], [], [], []
+        for text in batch.column("text"):
+            found = _lines(text.as_py())
+            these = [name(line) for _, line in found]
+            new = []
+            for this, (_, line) in zip(these, found, strict=True):
                 if this not in seen:
                     seen.add(this)
-                    fresh.append((len(names) - 1, line))
+                    new.append(this)
+                    lines.append(line)
+            by_place = [None] * (found[-1][0] + 1 if found else 0)
+            for this, (place, _) in zip(these, found, strict=True):
+                by_place[place] = this
+            names.append(by_place)
+            n_lines.append(len(found))
+            fresh.append(new)
         if len(seen) > SEEN_NAMES:
             seen.clear()
-        bands: list = [None] * len(names)
-        for i, j in _chunks([x for _, x in fresh]):
-            for (k, _), values in zip(fresh[i:j], band_hashes([x for _, x in fresh[i:j]]), strict=True):
-                bands[k] = values
-        frame = pd.DataFrame({"row": row_ids, "doc_id": docs, "place": places, "name": names})
-        yield frame.astype({"row": "int64", "doc_id": "Int64", "place": "int32", "name": "int64"}).assign(bands=bands)
+        ends = np.cumsum([0, *(len(x) * BANDS for x in fresh)])
+        bands = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(_all_bands(lines).reshape(-1)))
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (names, fresh)]
+        columns = [batch.column("row"), batch.column("doc_id"), pa.array(n_lines, pa.int64()), *lists, bands.cast(pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_lines", "names", "fresh", "bands"])
 
 
-def _filter_bits(names: DataFrame) -> bytes:
-    """A Bloom filter of one hash: bit ``name mod FILTER_BITS``, or-ed in words of 64 bits."""
-    bit = F.pmod("name", F.lit(FILTER_BITS))
+def _filter_bits(names: DataFrame, bits: int) -> bytes:
+    """A Bloom filter of one hash: bit ``name mod bits``, or-ed in words of 64 bits."""
+    bit = F.pmod("name", F.lit(bits))
     flag = F.expr("shiftleft(1L, cast(bit % 64 AS int))")
     words = names.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(flag).alias("bits"))
 
@@ -166,33 +285,41 @@ def _filter_bits(names: DataFrame) -> bytes:
         return pd.DataFrame({"part": [int(found["word"].iloc[0]) // 1024], "held": [held.tobytes()]})
 
     parts = words.groupBy(F.shiftright("word", 10)).applyInPandas(packed, "part int, held binary")
-    whole = bytearray(FILTER_BITS // 8)
-    for r in parts.toLocalIterator():  # FILTER_BITS / 65,536 rows of 8 KB at most
+    whole = bytearray(bits // 8)
+    for r in parts.toLocalIterator():  # bits / 65,536 rows of 8 KB at most
         whole[r["part"] * 8192 : (r["part"] + 1) * 8192] = r["held"]
     return bytes(whole)
 
 
 def _texts(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(name, line, size) of the lines that ``names`` lists; size is the number of different shingles."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(names))
+    wanted = 1 << (FILTER_BITS_EACH * names.count()).bit_length()
+    bits = min(max(wanted, FILTER_BITS_LEAST), FILTER_BITS_MOST)
+    held = docs.sparkSession.sparkContext.broadcast(_filter_bits(names, bits))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.frombuffer(held.value, np.uint8)
         seen: set[int] = set()
-        for rows in batches:
-            out = []
-            for text in rows["text"]:
-                for _, line in _lines(text):
+        for batch in batches:
+            found: dict[int, str] = {}
+            for text in batch.column("text"):
+                for _, line in _lines(text.as_py()):
                     this = name(line)
-                    if flags[this % FILTER_BITS] and this not in seen:
+                    at = this % bits
+                    if flags[at >> 3] >> (at & 7) & 1 and this not in seen:
                         seen.add(this)
-                        out.append((this, line))
+                        found[this] = line
             if len(seen) > SEEN_NAMES:
                 seen.clear()
-            frame = pd.DataFrame(out, columns=["name", "line"]).astype({"name": "int64"})
-            yield frame.assign(size=[len(shingles(x)) for _, x in out]).astype({"size": "int32"})
-
-    found = docs.select("text").mapInPandas(run, "name long, line string, size int")
+            lines = list(found.values())
+            sizes = np.zeros(len(lines), np.int64)
+            for some in _chunks(lines):
+                sizes[some] = incidence([lines[k] for k in some])[2]
+            columns = [pa.array(list(found), pa.int64()), pa.array(lines, pa.string())]
+            columns.append(pa.array(sizes))
+            yield pa.RecordBatch.from_arrays(columns, names=["name", "line", "size"])
+
+    found = docs.select("text").mapInArrow(run, "name long, line string, size long")
     return found.join(names, "name", "left_semi").dropDuplicates(["name"])
 
 
@@ -204,57 +331,110 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return pd.Series([jaccard(x, y) >= SIMILARITY for x, y in zip(a, b, strict=True)], dtype=bool)
 
     left, right = (texts.select(*[F.col(c).alias(x if c == "name" else f"{x}_{c}") for c in ("name", "line", "size")]) for x in "ab")
-    within = F.least("a_size", "b_size") / F.greatest("a_size", "b_size") >= SIMILARITY  # Jaccard is no more than this
+    within = F.least("a_size", "b_size") >= SIMILARITY * F.greatest("a_size", "b_size")  # Jaccard is no more than their ratio
     return pairs.join(left, "a").join(right, "b").filter(within).filter(alike("a_line", "b_line")).select("a", "b")
 
 
-def _across(mixed: DataFrame) -> DataFrame:
-    """Links (a, b) between members of one bucket with different roots.
+def _shelves(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(band, name, pivot) of the lines in buckets of two or more, and pairs (a, b) of pivots of one hot band.
 
-    Members are cut in blocks of about ``BLOCK_ROWS``, and every two blocks of
-    a bucket are compared within a task, which gives the links alone.  A
-    pair that shares several buckets is compared in the first of them only, and
-    not at all if its roots have met in the same two blocks before.
+    Rows are dealt by band and sorted, and each is looked at once, so a bucket
+    takes no memory.  In hot slots they are dealt by name, too, and lines alone
+    in their part are among the rows, with themselves as pivot.
     """
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS)
-    cut = mixed.withColumn("block", F.pmod(F.xxhash64("name", F.lit(5)), blocks).cast("int"))
-    each = cut.withColumn("_t", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
+    put = kept.select("fresh", F.posexplode("bands").alias("pos", "band"))
+    shelved = put.select("band", F.get("fresh", F.expr(f"int(pos div {BANDS})")).alias("name"))
+    slots = shelved.groupBy(F.pmod("band", F.lit(SLOTS)).alias("slot")).count().collect()  # SLOTS rows at most
+    mean = sum(r["count"] for r in slots) / SLOTS
+    hot = [r["slot"] for r in slots if r["count"] > HOT_ROWS + 4 * mean]
+    part = F.lit(0)
+    if hot:
+        part = F.when(F.pmod("band", F.lit(SLOTS)).isin(hot), 1 + F.pmod(F.xxhash64("name"), F.lit(SALTS))).otherwise(0)
+    # in one order names compare as they are, in the next with their bits turned, and so on
+    turn = F.pmod("band", F.lit(PIVOTS)) * F.lit(0x5DEECE66D1CE4E5B)
+    keyed = shelved.select("band", part.cast("long").alias("part"), F.col("name").bitwiseXOR(turn).alias("key"))
+    dealt = keyed.repartition("band", "part")
+
+    def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band = part = pivot = 0
+        begun = shown = False  # whether a run is open, and whether its pivot has been put out
+        for batch in batches:
+            columns = bands, parts, keys = [batch.column(c).to_numpy() for c in ("band", "part", "key")]
+            if not len(bands):
+                continue
+            new = np.ones(len(bands), bool)
+            new[1:] = (bands[1:] != bands[:-1]) | (parts[1:] != parts[:-1])
+            new[0] = not (begun and (bands[0], parts[0]) == (band, part))
+            run = np.cumsum(new)  # 0: the run that is open
+            heads = np.concatenate([np.array([pivot], np.int64), keys[new]])[run]
+            members = keys != heads
+            members[1:] &= (keys[1:] != keys[:-1]) | new[1:]
+            full = np.zeros(int(run[-1]) + 1, bool)
+            full[run[members]] = True
+            out = members | (new & (full[run] | (parts > 0)))
+            late = [(band, part, pivot, pivot)] if full[0] and not shown else []
+            late = np.array(late, np.int64).reshape(-1, 4)
+            shown = bool(full[run[-1]] or parts[-1] > 0 or (shown and not run[-1]))
+            begun, band, part, pivot = True, int(bands[-1]), int(parts[-1]), int(heads[-1])
+            rows = [pa.array(np.concatenate([x[out], late[:, k]])) for k, x in enumerate((*columns, heads))]
+            yield pa.RecordBatch.from_arrays(rows, names=["band", "part", "key", "head"])
+
+    runs = dealt.sortWithinPartitions("band", "part", "key").mapInArrow(first_of_each, "band long, part long, key long, head long")
+    back = [F.col(c).bitwiseXOR(turn).alias(n) for c, n in (("key", "name"), ("head", "pivot"))]
+    shelves = keep(runs.select("band", "part", *back), "shelves")
+    heads = shelves.filter("part > 0").select("band", "pivot").distinct()
+    firsts = heads.groupBy("band").agg(F.min("pivot").alias("first"), F.max("pivot").alias("last")).filter("first < last")
+    tied = heads.join(firsts, "band").filter("pivot <> first").select(F.col("first").alias("a"), F.col("pivot").alias("b"))
+    return shelves.drop("part"), tied
+
+
+def _joined(alike: np.ndarray) -> list[tuple[int, int]]:
+    """(member, first member) for all but the first of each component of a symmetric matrix."""
+    left, found = np.ones(len(alike), bool), []
+    for seed in np.flatnonzero(alike.any(axis=1)).tolist():
+        front = np.array([seed]) if left[seed] else np.empty(0, int)
+        left[seed] = False
+        while len(front):
+            front = np.flatnonzero(alike[front].any(axis=0) & left)
+            left[front] = False
+            found += [(int(x), seed) for x in front]
+    return found
+
+
+def _across(mixed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links (a, b) between roots that members of one bucket have; ``mixed`` has band, name, root, line, ``sizes`` band, blocks.
+
+    Members are cut in blocks by name, and every two blocks of a bucket are
+    compared within a task, which gives links between different roots alone.
+    """
+    cut = mixed.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("name", F.lit(5)), F.col("blocks")).cast("int"))
+    each = cut.withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
     dealt = each.withColumn("i", F.least("block", "_t")).withColumn("j", F.greatest("block", "_t"))
-    columns = ["band", "i", "j", "block", "name", "root", "line", "size", "bands"]
 
     def compared(rows: list[tuple]) -> list[tuple[int, int]]:
-        band, i, j = rows[0][:3]
-        sizes, of = np.array([r[7] for r in rows]), np.array([r[3] for r in rows])
-        within = np.minimum.outer(sizes, sizes) / np.maximum.outer(sizes, sizes) >= SIMILARITY
-        if i != j:
-            within &= of[:, None] != of[None, :]
-        bands = [frozenset(r[8]) for r in rows]
-        sets: dict[int, frozenset[str]] = {}
-        parent = {r[5]: r[5] for r in rows}
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        found = []
-        for x, y in zip(*(k.tolist() for k in np.nonzero(np.triu(within, 1))), strict=True):
-            if (r := find(rows[x][5])) == (t := find(rows[y][5])) or min(bands[x] & bands[y]) != band:
-                continue
-            for k in (x, y):
-                if k not in sets:
-                    sets[k] = shingles(rows[k][6])
-            both = len(sets[x] & sets[y])
-            if both / (len(sets[x]) + len(sets[y]) - both) >= SIMILARITY:
-                parent[r] = t
-                found.append((rows[x][4], rows[y][4]))
-        return found
+        i, j = rows[0][1:3]
+        rows.sort(key=lambda r: r[3] != i)
+        roots = np.array([r[4] for r in rows])
+        split = sum(r[3] == i for r in rows) if i != j else 0
+        if split == len(rows) or (roots == roots[0]).all():
+            return []
+        shared, sizes = overlaps([r[5] for r in rows], split)
+        left = slice(0, split or len(rows))
+        union = sizes[left, None] + sizes[None, split:] - shared
+        near = (shared >= SIMILARITY * union) & (roots[left, None] != roots[None, split:])
+        if not near.any():
+            return []
+        alike = near
+        if split:
+            alike = np.zeros((len(rows), len(rows)), bool)
+            alike[:split, split:], alike[split:, :split] = near, near.T
+        return [(int(roots[x]), int(roots[y])) for x, y in _joined(alike)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         for pdf in batches:
             out = []
-            for row in pdf[columns].itertuples(index=False, name=None):
+            for row in pdf.itertuples(index=False, name=None):
                 if held and row[:3] != held[0][:3]:
                     out += compared(held)
                     held = []
@@ -263,77 +443,91 @@ def _across(mixed: DataFrame) -> DataFrame:
         if held:
             yield pd.DataFrame(compared(held), columns=["a", "b"]).astype("int64")
 
-    ordered = dealt.select(*columns).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    ordered = dealt.select("band", "i", "j", "block", "root", "line").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     return ordered.mapInPandas(run, "a long, b long")
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines (row, doc_id, place, name) of ``docs`` (row, doc_id, text), and (name, root) of names that have a link."""
-    schema = "row long, doc_id long, place int, name long, bands array<long>"
-    all_lines = keep(docs.select("row", "doc_id", "text").mapInPandas(_named, schema), "lines")
-    in_bucket = Window.partitionBy("band")
-    shelved = all_lines.filter("bands IS NOT NULL").select("name", F.explode("bands").alias("band"))
-    pivot = F.min(F.struct(F.xxhash64("name", F.pmod("band", F.lit(PIVOTS))), "name")).over(in_bucket)["name"]
-    shared = F.min("name").over(in_bucket) < F.max("name").over(in_bucket)
-    shelves = keep(shelved.withColumns({"pivot": pivot, "shared": shared}).filter("shared").drop("shared"), "shelves")
-    texts = keep(_texts(docs, shelves.select("name").distinct()), "texts")
+def classes(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """(name, root) of the names that have a link; ``kept`` is what ``_named`` gives for ``docs``."""
+    shelves, tied = _shelves(kept)
     pairs = shelves.filter("name <> pivot").select(F.least("name", "pivot").alias("a"), F.greatest("name", "pivot").alias("b"))
-    roots = keep(components(_verified(pairs.distinct(), texts)), "roots")
+    pairs = keep(pairs.unionByName(tied).distinct(), "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    texts = keep(_texts(docs, named), "texts")
+    roots = keep(components(_verified(pairs, texts)), "roots").withColumnRenamed("id", "name")
 
-    known = shelves.join(roots.withColumnRenamed("id", "name"), "name", "left")
-    told = known.select("band", "name", F.coalesce("root", "name").alias("root")).distinct()
+    told = shelves.join(roots, "name", "left").select("band", "name", F.coalesce("root", "name").alias("root")).distinct()
     unlike = told.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-    marks = shelves.groupBy("name").agg(F.collect_set("band").alias("bands"))
-    several = unlike.filter("lo < hi AND n > 2")  # where there are two, the other has met the pivot
-    mixed = told.join(several.select("band", "n"), "band").join(texts.join(marks, "name"), "name")
-    later = keep(_across(mixed), "later")
-    ends = [roots.select(F.col("id").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab"]
-    joined = later.join(ends[0], "a", "left").join(ends[1], "b", "left")
-    contracted = joined.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    merged = keep(components(contracted), "merged").select(F.col("id").alias("root"), F.col("root").alias("least"))
-    moved = roots.join(merged, "root", "left").select("id", F.coalesce("least", "root").alias("root"))
-    return all_lines.drop("bands"), moved.unionByName(merged.select(F.col("root").alias("id"), F.col("least").alias("root"))).distinct()
-
-
-def dropped(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, place, root, dropped) of every line of ``docs`` (row, doc_id, text)."""
-    lines, roots = classes(docs)
-    classed = lines.join(roots.withColumnRenamed("id", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "place", "row")
-    first = classed.groupBy("root").agg(F.min(order).alias("first"))
-    return classed.join(first, "root").select("row", "doc_id", "place", "root", (order != F.col("first")).alias("dropped"))
+    several = unlike.filter("lo < hi AND n > 2").select("band")  # where there are two, the other has met the pivot
+    mixed = keep(told.join(several, "band").join(texts, "name"), "mixed")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / (BLOCK_ROWS << 11)))
+    merged = keep(components(_across(mixed, mixed.groupBy("band").agg(blocks.alias("blocks")))), "merged")
+    least = merged.select(F.col("id").alias("root"), F.col("root").alias("least"))
+    moved = roots.join(least, "root", "left").select("name", F.coalesce("least", "root").alias("root"))
+    return moved.unionByName(least.select(F.col("root").alias("name"), F.col("least").alias("root"))).distinct()
+
+
+def _met(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """``left`` joined with ``right`` (key, n, ...), n being the rows of ``left`` with that key, of ``total``.
+
+    Keys with more than one in ``FREQUENT`` of the rows are no more than
+    ``FREQUENT``; they are broadcast, and their rows stay where they are.
+    """
+    often = F.col("n") > math.ceil(total / FREQUENT)
+    frequent = F.broadcast(right.filter(often))
+    seldom = left.join(frequent.select(key), key, "left_anti").join(right.filter(~often), key)
+    return left.join(frequent, key).unionByName(seldom).drop("n")
+
+
+def dropped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, place, root) of the lines of ``docs`` (row, doc_id, text) that are dropped, and (row, doc_id, n_lines) of all documents."""
+    schema = "row long, doc_id long, n_lines long, names array<long>, fresh array<long>, bands array<long>"
+    kept = keep(docs.select("row", "doc_id", "text").mapInArrow(_named, schema), "lines")
+    roots = classes(kept, docs)
+    total = kept.agg(F.sum("n_lines")).first()[0] or 0
+    lines = kept.select("row", "doc_id", F.posexplode("names").alias("place", "name")).filter("name IS NOT NULL")
+    counted = lines.groupBy("name").agg(F.count("*").alias("n")).join(roots, "name", "left")
+    several = counted.filter("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "name"))
+    several = keep(several.select("name", "n", "root"), "several")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "place", "row")
+    members = keep(_met(lines, several, "name", total).select("root", order.alias("at")), "members")
+    sizes = several.groupBy("root").agg(F.sum("n").alias("n"))
+    firsts = members.groupBy("root").agg(F.min("at").alias("first")).join(sizes, "root")
+    gone = _met(members, firsts, "root", total).filter("at <> first")
+    return gone.select("at.row", "at.place", "root"), kept.select("row", "doc_id", "n_lines")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of lines, and the places and classes of those that are dropped."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    found = dropped(rows)
-    gone = F.when(F.col("dropped"), F.struct("place", "root"))
-    per_doc = found.groupBy("row").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list(gone)).alias("gone"))
-    return (
-        rows.select("row", "doc_id")
-        .join(per_doc, "row", "left")
-        .select(
-            "doc_id",
-            F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
-            F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
-            F.coalesce(F.transform("gone", lambda g: g["place"]), F.array().cast("array<int>")).alias("dropped_lines"),
-            F.coalesce(F.transform("gone", lambda g: g["root"]), F.array().cast("array<long>")).alias("classes"),
-        )
+    found, rows = dropped(docs.withColumn("row", F.monotonically_increasing_id()))
+    per_doc = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "root"))).alias("gone"))
+    return rows.join(per_doc, "row", "left").select(
+        "doc_id",
+        "n_lines",
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.transform("gone", lambda g: g["place"]), F.array().cast("array<int>")).alias("dropped_lines"),
+        F.coalesce(F.transform("gone", lambda g: g["root"]), F.array().cast("array<long>")).alias("classes"),
     )
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without duplicate lines; documents that had lines and have none left go."""
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-        "row", F.monotonically_increasing_id()
-    )
-    found = dropped(rows.select("row", "doc_id", "text"))
-    gone = found.groupBy("row").agg(
-        F.count("*").alias("_n"), F.collect_list(F.when(F.col("dropped"), F.col("place"))).alias("_gone")
-    ).filter(F.size("_gone") > 0)
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    joined = rows.join(gone, "row", "left").filter(F.col("_gone").isNull() | (F.size("_gone") < F.col("_n")))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"_row.{c}").alias(c) for c in docs.columns])
+    """``docs`` without duplicate lines; documents that had lines and have none left go.
+
+    Documents are written with their row numbers first, since a plan that is
+    run twice need not number them alike.
+    """
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
+        drops = [set(places.tolist()) for places in gone]
+        parts = [[x for i, x in enumerate(t.split("\n")) if i not in drop] for t, drop in zip(texts, drops, strict=True)]
+        return pd.Series(["\n".join(x) for x in parts], dtype=object)
+
+    numbered = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = keep(numbered.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found, counts = dropped(rows.select("row", "doc_id", "text"))
+    gone = found.groupBy("row").agg(F.collect_list("place").alias("gone")).join(counts.select("row", "n_lines"), "row")
+    joined = rows.join(gone, "row", "left").filter(F.col("gone").isNull() | (F.size("gone") < F.col("n_lines")))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(without("text", "gone"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -290,6 +290,41 @@ def test_op6_places_each_row_by_its_slot(spark, sf_dir, rows):
         assert (r["slot"], r["shard"]) == (slot, slots[slot])
 
 
+def test_op7_counts_overlaps_exactly():
+    rnd = random.Random(4)
+    for alphabet in ("ab ", "abcdefghij", "".join(map(chr, range(0x4E00, 0x9000)))):
+        lines = ["".join(rnd.choices(alphabet, k=rnd.randrange(1, 60))) for _ in range(40)]
+        for split in (0, 15):
+            shared, sizes = line_dedup.overlaps(lines, split)
+            for i in range(split or 40):
+                for j in range(split, 40):
+                    assert i == j or shared[i, j - split] == len(line_dedup.shingles(lines[i]) & line_dedup.shingles(lines[j]))
+            assert sizes.tolist() == [len(line_dedup.shingles(x)) for x in lines]
+
+
+def test_op7_bands_find_pairs_at_the_threshold():
+    rnd = random.Random(5)
+    for length in (49, 120, 900):
+        pairs = []
+        while len(pairs) < 600:
+            a = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=length))
+            b = list(a)
+            for at in rnd.sample(range(length), max(1, length // 55)):
+                b[at] = "#"
+            if line_dedup.jaccard(a, "".join(b)) >= line_dedup.SIMILARITY:
+                pairs.append((a, "".join(b)))
+        left, right = (line_dedup._all_bands(list(x)) for x in zip(*pairs, strict=True))
+        assert (left == right).any(axis=1).mean() >= 0.98
+
+
+def test_op7_reads_lines_as_they_are_compared():
+    rnd = random.Random(6)
+    for _ in range(2000):
+        text = "".join(rnd.choice("aB\u0130\u03a3 \t\n\r\x0b\x1c\x85\u3000\xa0\u00e9") for _ in range(rnd.randrange(30)))
+        expected = [(i, n) for i, line in enumerate(text.split("\n")) if (n := line_dedup.normal(line))]
+        assert line_dedup._lines(text) == expected
+
+
 def test_op7_links_lines_after_one_substitution(spark, tmp_path):
     rnd = random.Random(12)
     lines = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(60)).strip() + "end of it" for _ in range(40)]
@@ -302,7 +337,11 @@ def test_op7_links_lines_after_one_substitution(spark, tmp_path):
     assert len(alike) > 30 and found == {1: [], 2: alike}
 
 
-def test_op7_agrees_with_all_pairs(spark, sf_dir, rows):
+@pytest.mark.parametrize("small", [False, True])
+def test_op7_agrees_with_all_pairs(spark, sf_dir, rows, monkeypatch, small):
+    if small:  # every slot is hot, buckets have many blocks, every name is frequent
+        for setting, value in (("HOT_ROWS", -1_000_000), ("SALTS", 3), ("BLOCK_ROWS", 2), ("FREQUENT", 100_000)):
+            monkeypatch.setattr(line_dedup, setting, value)
     ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
     lines = [(n, place, line) for n, r in enumerate(ordered) for place, line in line_dedup._lines(r[1])]
     texts = sorted({x for *_, x in lines})
