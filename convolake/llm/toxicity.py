@@ -1,28 +1,32 @@
 """Toxicity by compression distance under two zstandard dictionaries.
 
-One dictionary is trained on ordinary text, one on toxic text.  A window of a
-document compresses better under the dictionary that knows it; the difference
-in bytes, ordinary minus toxic, is the window's distance.  A document's
-distances are summed up in a few numbers that a logistic model turns into a
-calibrated score.  It is fitted by two halves: each half's numbers come from
-dictionaries of the other half, so no text is measured by what it trained.  The
-dictionaries for scoring are trained on both.
-
-A toxic document is mostly ordinary text, so the toxic dictionary is trained
-on its distinctive part: words that stand in far more different contexts of
-toxic documents than of ordinary ones.  Counting contexts, not occurrences,
-keeps copies of one document from making all its words look toxic.
-
-A window is ``WINDOW_WORDS`` words with a space on either side.  A run of
-spaces is added before compressing: without it zstandard stores short windows
-as they are and their lengths say nothing.
-
-Training takes at most ``PER_CLASS`` labelled documents of each class, whole,
-and never those of the held-out fold; scoring reads every text as a whole.
+One dictionary is trained on windows of ordinary documents, one on windows of
+toxic documents, each on the text as it stands.  A window compresses to fewer
+bytes by what the dictionary at hand knows.  Most of a toxic document is
+ordinary text, so the toxic dictionary is laid before the ordinary one: the
+bytes that a window saves when it is added are the window's distance, and what
+both classes share tells nothing.  A document's distances are summed up in a
+few numbers that a logistic model turns into a calibrated score.  It is fitted
+by two halves: each half's numbers come from dictionaries of the other half, so
+no text is measured by what it trained.  The dictionaries for scoring are
+trained on both.
+
+A window is ``WINDOW_WORDS`` words with a space on either side, and the next
+begins ``STEP_WORDS`` on, so that neighbours share a word.  A run of spaces is added before
+compressing: without it zstandard stores short windows as they are and their
+lengths say nothing.
+
+Training takes a bounded sample of labelled documents, each of them whole: in
+the order of a hash, at most ``PER_CLASS`` of a class and as many of these as
+have ``SAMPLE_BYTES`` together; a document longer than that is passed over.  A
+doc_id that stands for several texts is sampled with the first of them.  The
+held-out fold never takes part.  Scoring reads every text as a whole.
+
 Null and empty texts have no windows and get the score of a document without
 any distance.  Null doc_ids are scored and held_out is null.  Repeated rows
-stay repeated; other columns are ignored.  Without labels of both classes the
-score is the share of toxic labels, 0 without any.
+stay repeated; other columns are ignored; an empty table gives no rows.
+Without labels of both classes the score is the share of toxic labels, 0
+without any.
 """
 
 from __future__ import annotations
@@ -42,28 +46,33 @@ from convolake.llm.sampling import fold, sample
 from convolake.storage import keep, table
 
 PER_CLASS = 4000
-WINDOW_WORDS = 1
+SAMPLE_BYTES = 8 << 20
+WINDOW_WORDS = 3
+STEP_WORDS = 2
 THRESHOLD = 0.3
-ORDINARY_BYTES = 16_384
+ORDINARY_BYTES = 262_144
 TOXIC_BYTES = 16_384
-ORDINARY_WINDOWS = 200_000
-LEXICON = 4_096
-#: A word is distinctive from this log ratio of contexts and this many contexts on.
-MIN_LOG_RATIO = 3.5
-MIN_CONTEXTS = 4
-SENTENCE_ROUNDS = 40
-CACHE_ENTRIES = 400_000
-CACHE_KEY = 64
-_PAD = b" " * 48
+#: Lengths that zstandard's dictionary builder selects by and cuts out.
+SEGMENT_BYTES, MATCH_BYTES = 48, 8
+#: Windows that are compressed at a time, so that a very long text needs no more memory than others.
+BATCH = 50_000
+_PAD = b" " * 32
 _EXCESS = (1, 2, 3, 4)
+N_FEATURES = 5 + 2 * len(_EXCESS)
+
+
+def windows(text: str | None, step: int = STEP_WORDS) -> list[bytes]:
+    """A text's windows in lower case; a short text is one, one without words has none."""
+    words = (text or "").lower().encode("utf-8", "replace").split()
+    last = max(1, len(words) - WINDOW_WORDS + step) if words else 0
+    return [b" " + b" ".join(words[i : i + WINDOW_WORDS]) + b" " for i in range(0, last, step)]
 
 
 class Distance:
-    """Compressed lengths of windows under two dictionaries, with a bounded memory of windows seen."""
+    """Bytes that windows save by the toxic dictionary."""
 
     def __init__(self, ordinary: bytes, toxic: bytes) -> None:
-        self.lengths = [self._length(x) for x in (ordinary, toxic)]
-        self._seen: dict[bytes, int] = {}
+        self._compressors = [self._compressor(x) for x in (ordinary, toxic + ordinary)]
 
     @classmethod
     @functools.lru_cache(4)
@@ -71,42 +80,35 @@ class Distance:
         return cls(ordinary, toxic)
 
     @staticmethod
-    def _length(content: bytes):
-        known = zstandard.ZstdCompressionDict(content)
+    def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+        # as plain content: literals cost a byte each, so that words no dictionary knows stand out
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         params = zstandard.ZstdCompressionParameters(
-            strategy=zstandard.STRATEGY_BTOPT, min_match=3, window_log=17, hash_log=14, chain_log=14, search_log=4,
-            target_length=32, write_checksum=False, write_content_size=False, write_dict_id=False,
+            strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=19, hash_log=18, chain_log=18, search_log=4,
+            target_length=16, write_checksum=False, write_content_size=False, write_dict_id=False,
         )
         known.precompute_compress(compression_params=params)
-        compress = zstandard.ZstdCompressor(dict_data=known, compression_params=params).compress
-        return lambda window: len(compress(window))
-
-    def _measure(self, window: bytes) -> int:
-        framed = b" " + window + b" " + _PAD
-        found = self.lengths[0](framed) - self.lengths[1](framed)
-        if len(window) <= CACHE_KEY:
-            if len(self._seen) >= CACHE_ENTRIES:
-                self._seen.clear()
-            self._seen[window] = found
-        return found
+        return zstandard.ZstdCompressor(dict_data=known, compression_params=params)
 
     def windows(self, text: str | None) -> np.ndarray:
-        words = (text or "").lower().encode("utf-8", "replace").split()
-        if WINDOW_WORDS > 1:
-            words = [b" ".join(words[i : i + WINDOW_WORDS]) for i in range(0, len(words), WINDOW_WORDS)]
-        known, measure = self._seen.get, self._measure
-        return np.array([d if (d := known(w)) is not None else measure(w) for w in words], np.int64)
+        """The distance of each window of a text."""
+        padded = [w + _PAD for w in windows(text)]
+        found = []
+        for at in range(0, len(padded), BATCH):
+            some = padded[at : at + BATCH]
+            plain, both = (c.multi_compress_to_buffer(some) for c in self._compressors)
+            found += [len(plain[k]) - len(both[k]) for k in range(len(some))]
+        return np.array(found, np.int64)
 
     def features(self, text: str | None) -> np.ndarray:
-        """The largest distances and the excess over several limits, of all windows."""
+        """The largest distances, their mean, the number of windows, and the excess over several limits."""
         d = self.windows(text)
         if not len(d):
-            return np.zeros(3 + 2 * len(_EXCESS))
-        top = -np.partition(-d, min(2, len(d) - 1))[: min(3, len(d))]
-        top = np.sort(top)[::-1]
+            return np.zeros(N_FEATURES)
+        top = np.sort(d)[::-1][:4]
         over = [float(np.maximum(d - k, 0).sum()) for k in _EXCESS]
-        best = [float(top[0]), float(top[:2].sum()) / 2, float(top.sum()) / 3]
-        return np.array([max(0.0, x) for x in best] + [x / math.sqrt(len(d)) for x in over] + [math.log1p(x) for x in over])
+        best = [float(top[0]), float(top[:2].mean()), float(top.mean()), float(d.mean()) * math.sqrt(len(d)), math.log1p(len(d))]
+        return np.array([*best, *(math.log1p(x) for x in over), *(x / math.sqrt(len(d)) for x in over)])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
@@ -124,38 +126,30 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return beta
 
 
-def _sentences(words: list[tuple[str, int]]) -> list[bytes]:
-    """Words in shuffled orders, six to a sample, so that no text around them is learnt.
-
-    A word takes part in as many of the ``SENTENCE_ROUNDS`` orders as it has contexts.
-    """
-    order, samples = random.Random(SENTENCE_ROUNDS), []
-    for n in range(SENTENCE_ROUNDS):
-        part = [word for word, contexts in words if contexts > n]
-        part = order.sample(part, len(part))
-        samples += [f" {' '.join(part[i : i + 6])} ".encode() for i in range(0, len(part), 6)]
-    return samples
-
-
-def _dictionary(samples: list[bytes], size: int, d: int) -> bytes:
+def _dictionary(texts: list[str], size: int) -> bytes:
+    """What zstandard's builder makes of the texts' windows."""
+    samples = [w for text in texts for w in windows(text, WINDOW_WORDS)]
+    random.Random(len(samples)).shuffle(samples)
     try:
-        return zstandard.train_dictionary(size, samples, k=32, d=d).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=SEGMENT_BYTES, d=MATCH_BYTES).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: they are the dictionary themselves
         return b"".join(dict.fromkeys(samples))[-size:] or b" " * 8
 
 
-def _distinctive(words: DataFrame) -> list[tuple[str, int]]:
-    """Words with far more contexts in toxic text, and how many; ``words`` has y, word, before, after."""
-    sides = words.select("y", "word", F.xxhash64("before", "after").alias("context")).distinct()
-    counts = sides.groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o"))
-    total = counts.agg(F.sum("t").alias("nt"), F.sum("o").alias("no"))
-    ratio = F.log((F.col("t") + 0.5) / F.col("nt")) - F.log((F.col("o") + 0.5) / F.col("no"))
-    told = counts.filter(F.col("t") >= MIN_CONTEXTS).crossJoin(F.broadcast(total)).filter(ratio >= MIN_LOG_RATIO)
-    return [(r["word"], int(r["t"])) for r in told.orderBy(F.desc("t"), "word").limit(LEXICON).collect()]
+def dictionaries(learn: list[tuple[int, str]]) -> dict[str, bytes]:
+    """The ordinary and the toxic dictionary of labelled texts (y, text)."""
+    sides = [[text for y, text in learn if y == side] for side in (0, 1)]
+    return {"ordinary": _dictionary(sides[0], ORDINARY_BYTES), "toxic": _dictionary(sides[1], TOXIC_BYTES)}
 
 
-def _words(text: str) -> F.Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def _within_bounds(picked: DataFrame) -> list[int]:
+    """doc_ids of ``picked`` (doc_id, y, u, n_bytes), no more than twice ``PER_CLASS`` rows, whose texts fit in ``SAMPLE_BYTES`` a class."""
+    room, taken = {0: SAMPLE_BYTES, 1: SAMPLE_BYTES}, []
+    for r in sorted(picked.select("u", "doc_id", "y", "n_bytes").collect()):
+        if r["n_bytes"] <= room[r["y"]]:
+            room[r["y"]] -= r["n_bytes"]
+            taken.append(r["doc_id"])
+    return taken
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: F.Column, per_class: int = PER_CLASS) -> dict:
@@ -164,39 +158,24 @@ def train(docs: DataFrame, labels: DataFrame, allowed: F.Column, per_class: int
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     if len(counts) < 2:
         return {"share": share}
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    held = keep(texts, "labelled")  # at most 2 * per_class documents
-    halves = [dictionaries(held.filter(F.pmod("u", F.lit(2)) == half)) for half in (0, 1)]
-    rows = [
-        row
-        for half in (0, 1)
-        for row in measured(held.filter(F.pmod("u", F.lit(2)) != half).select("doc_id", "y", "text"), halves[half]).collect()
-    ]
+    labelled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    once = labelled.groupBy("doc_id", "y", "u").agg(F.min("text").alias("text"))
+    held = keep(once.withColumn("n_bytes", F.octet_length("text").cast("long")), "labelled")  # at most 2 * per_class documents
+    held = held.filter(F.col("doc_id").isin(_within_bounds(held)))
+    parity = F.pmod("u", F.lit(2))
+    texts = [(r["half"], r["y"], r["text"]) for r in held.select(parity.alias("half"), "y", "text").orderBy("u", "doc_id").collect()]
+    rows = []
+    for half in (0, 1):
+        model = dictionaries([(y, text) for h, y, text in texts if h == half])
+        rows += measured(held.filter(parity != half).select("doc_id", "y", "text"), model).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     x, y = np.array([r["features"] for r in rows]).reshape(len(rows), -1), np.array([r["y"] for r in rows])
     if len(set(y.tolist())) < 2:
         return {"share": share}
     weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
     scale = np.maximum(x.std(axis=0), 1e-6)
     beta = logistic(x / scale, y, weight)
-    return dictionaries(held) | {"share": share, "beta": np.append(beta[:-1] / scale, beta[-1])}
-
-
-def dictionaries(learn: DataFrame) -> dict[str, bytes]:
-    """The ordinary and the toxic dictionary of labelled texts (doc_id, y, text)."""
-    bare = r"^[.,;:!?]+|[.,;:!?]+$"
-    split = learn.select("y", _words("text").alias("w")).select("y", "w", F.posexplode("w").alias("i", "word"))
-    told = split.select(
-        "y",
-        F.regexp_replace("word", bare, "").alias("word"),
-        F.regexp_replace(F.get("w", F.col("i") - 1), bare, "").alias("before"),
-        F.regexp_replace(F.get("w", F.col("i") + 1), bare, "").alias("after"),
-    )
-    lexicon = _distinctive(told.filter("word <> ''"))
-    plain = learn.filter("y = 0").select("doc_id", F.posexplode(_words("text")).alias("i", "word"))
-    windows = plain.orderBy(F.xxhash64("doc_id", "i"), "doc_id", "i").limit(ORDINARY_WINDOWS).select("word").collect()
-    toxic = _sentences(lexicon)
-    ordinary = [f" {r['word']} ".encode() for r in windows]
-    return {"ordinary": _dictionary(ordinary, ORDINARY_BYTES, 8), "toxic": _dictionary(toxic, TOXIC_BYTES, 6)}
+    return dictionaries([(y, text) for _, y, text in texts]) | {"share": share, "beta": np.append(beta[:-1] / scale, beta[-1])}
 
 
 def measured(docs: DataFrame, model: dict) -> DataFrame:
