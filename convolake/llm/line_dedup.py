@@ -59,8 +59,10 @@ BLOCK_ROWS = 1024
 BLOCK_COLUMNS = 4096
 #: Orders of names in which a bucket's first one is its pivot.
 PIVOTS = 2
-#: Bands fall in ``SLOTS`` slots; one with ``HOT_ROWS`` rows more than four times the mean is dealt in ``SALTS`` parts.
+#: Bands fall in ``SLOTS`` slots; one with ``HOT_ROWS`` rows more than four times the mean, as a sample of documents has
+#: them, is dealt in ``SALTS`` parts.  The sample says where rows are compared, not which.
 SLOTS = 4096
+SLOT_SAMPLE = 1 / 16
 HOT_ROWS = 100_000
 SALTS = 64
 #: A name that holds more than one in ``FREQUENT`` of all lines is one of a broadcast table.
@@ -69,6 +71,8 @@ FREQUENT = 1000
 FILTER_BITS_EACH = 16
 FILTER_BITS_LEAST, FILTER_BITS_MOST = 1 << 20, 1 << 28
 CHUNK_CHARS = 1 << 16
+#: Bits that are marked for a line's shingles, which prove most pairs unlike before any shingle is compared.
+MARK_BITS = 1024
 SEEN_NAMES = 500_000
 #: Rounds in which shingles are thrown into a sketch's bins; what is empty after them takes a minimum of its own.
 ROUNDS = 24
@@ -115,6 +119,17 @@ def _whole(lengths: np.ndarray) -> np.ndarray:
     return mask[: len(mask) - SHINGLE + 1]
 
 
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A 32-bit hash of every shingle, and how many each line has with repeats; no line is empty."""
+    codes, lengths = _codes(lines)
+    h = (codes + np.uint32(1)) * _MIX[0]
+    for width, factor in ((1, _MIX[1]), (2, _MIX[2]), (1, _MIX[3])):  # 2, 4 and 5 characters
+        h ^= h >> np.uint32(15)
+        h = h[:-width] * factor + h[width:]
+    h ^= h >> np.uint32(16)
+    return h[_whole(lengths)], lengths - SHINGLE + 1
+
+
 def band_hashes(lines: list[str]) -> np.ndarray:
     """A row of ``BANDS`` signed 64-bit hashes for each line; no line is empty.
 
@@ -123,14 +138,7 @@ def band_hashes(lines: list[str]) -> np.ndarray:
     holds its least.  So a bin is equal in two lines as often as their shingles
     overlap, and long lines need one round.
     """
-    codes, lengths = _codes(lines)
-    h = (codes + np.uint32(1)) * _MIX[0]
-    for width, factor in ((1, _MIX[1]), (2, _MIX[2]), (1, _MIX[3])):  # 2, 4 and 5 characters
-        h ^= h >> np.uint32(15)
-        h = h[:-width] * factor + h[width:]
-    h ^= h >> np.uint32(16)
-    x = h[_whole(lengths)]
-    counts = lengths - SHINGLE + 1
+    x, counts = shingle_hashes(lines)
     base = np.repeat(np.arange(len(lines)) * _BINS, counts)
     sketch = np.full(len(lines) * _BINS, 0xFFFFFFFF, np.uint32)
     empty = np.ones(len(lines), bool)
@@ -222,6 +230,24 @@ def incidence(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return line, key, np.bincount(line, minlength=len(lines))
 
 
+def marks(line: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """``MARK_BITS`` bits for each of ``n`` lines, one set by each of its shingles; ``key`` must not depend on the block."""
+    flags = np.zeros((n, MARK_BITS), bool)
+    flags[line, key % np.uint32(MARK_BITS)] = True
+    return np.packbits(flags, axis=1)
+
+
+def may_be_alike(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """False where marks prove a similarity below the threshold.
+
+    A bit that only one line has stands for a shingle that only it has, so
+    what both have is bounded by either line's number of shingles.
+    """
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    both = np.minimum(a_size - np.bitwise_count(a & ~b).sum(axis=1), b_size - np.bitwise_count(b & ~a).sum(axis=1))
+    return both >= SIMILARITY * (a_size + b_size - both)
+
+
 def overlaps(lines: list[str], split: int) -> tuple[np.ndarray, np.ndarray]:
     """How many shingles each of the first ``split`` lines shares with each line after them, and all lines' numbers of shingles.
 
@@ -292,7 +318,7 @@ def _filter_bits(names: DataFrame, bits: int) -> bytes:
 
 
 def _texts(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, line, size) of the lines that ``names`` lists; size is the number of different shingles."""
+    """(name, line, size, marks) of the lines that ``names`` lists; size is the number of different shingles."""
     wanted = 1 << (FILTER_BITS_EACH * names.count()).bit_length()
     bits = min(max(wanted, FILTER_BITS_LEAST), FILTER_BITS_MOST)
     held = docs.sparkSession.sparkContext.broadcast(_filter_bits(names, bits))
@@ -312,14 +338,17 @@ def _texts(docs: DataFrame, names: DataFrame) -> DataFrame:
             if len(seen) > SEEN_NAMES:
                 seen.clear()
             lines = list(found.values())
-            sizes = np.zeros(len(lines), np.int64)
+            sizes, bits_set = np.zeros(len(lines), np.int64), np.zeros((len(lines), MARK_BITS // 8), np.uint8)
             for some in _chunks(lines):
-                sizes[some] = incidence([lines[k] for k in some])[2]
-            columns = [pa.array(list(found), pa.int64()), pa.array(lines, pa.string())]
-            columns.append(pa.array(sizes))
-            yield pa.RecordBatch.from_arrays(columns, names=["name", "line", "size"])
-
-    found = docs.select("text").mapInArrow(run, "name long, line string, size long")
+                these = [lines[k] for k in some]
+                sizes[some] = incidence(these)[2]
+                hashes, counts = shingle_hashes(these)
+                bits_set[some] = marks(np.repeat(np.arange(len(these)), counts), hashes, len(these))
+            columns = [pa.array(list(found), pa.int64()), pa.array(lines, pa.string()), pa.array(sizes)]
+            columns.append(pa.array([x.tobytes() for x in bits_set], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["name", "line", "size", "marks"])
+
+    found = docs.select("text").mapInArrow(run, "name long, line string, size long, marks binary")
     return found.join(names, "name", "left_semi").dropDuplicates(["name"])
 
 
@@ -327,12 +356,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of names whose lines are alike."""
 
     @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y) >= SIMILARITY for x, y in zip(a, b, strict=True)], dtype=bool)
-
-    left, right = (texts.select(*[F.col(c).alias(x if c == "name" else f"{x}_{c}") for c in ("name", "line", "size")]) for x in "ab")
+    def alike(a: pd.Series, b: pd.Series, a_size: pd.Series, b_size: pd.Series, a_marks: pd.Series, b_marks: pd.Series) -> pd.Series:
+        bits = [np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (a_marks, b_marks)]
+        out = may_be_alike(*bits, a_size.to_numpy(), b_size.to_numpy()) if len(a) else np.zeros(0, bool)
+        for k in np.flatnonzero(out).tolist():
+            out[k] = jaccard(a.iat[k], b.iat[k]) >= SIMILARITY
+        return pd.Series(out)
+
+    columns = ("line", "size", "marks")
+    left, right = (texts.select(F.col("name").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns]) for x in "ab")
     within = F.least("a_size", "b_size") >= SIMILARITY * F.greatest("a_size", "b_size")  # Jaccard is no more than their ratio
-    return pairs.join(left, "a").join(right, "b").filter(within).filter(alike("a_line", "b_line")).select("a", "b")
+    met = pairs.join(left, "a").join(right, "b").filter(within)
+    return met.filter(alike("a_line", "b_line", "a_size", "b_size", "a_marks", "b_marks")).select("a", "b")
 
 
 def _shelves(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -342,26 +377,29 @@ def _shelves(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     takes no memory.  In hot slots they are dealt by name, too, and lines alone
     in their part are among the rows, with themselves as pivot.
     """
+    slot = F.pmod("band", F.lit(SLOTS))
+    sampled = kept.sample(SLOT_SAMPLE, seed=1).select(F.explode("bands").alias("band"))
+    slots = sampled.groupBy(slot.alias("slot")).count().collect()  # SLOTS rows at most
+    mean = sum(r["count"] for r in slots) / SLOTS
+    hot = [r["slot"] for r in slots if r["count"] > HOT_ROWS * SLOT_SAMPLE + 4 * mean]
     put = kept.select("fresh", F.posexplode("bands").alias("pos", "band"))
     shelved = put.select("band", F.get("fresh", F.expr(f"int(pos div {BANDS})")).alias("name"))
-    slots = shelved.groupBy(F.pmod("band", F.lit(SLOTS)).alias("slot")).count().collect()  # SLOTS rows at most
-    mean = sum(r["count"] for r in slots) / SLOTS
-    hot = [r["slot"] for r in slots if r["count"] > HOT_ROWS + 4 * mean]
-    part = F.lit(0)
-    if hot:
-        part = F.when(F.pmod("band", F.lit(SLOTS)).isin(hot), 1 + F.pmod(F.xxhash64("name"), F.lit(SALTS))).otherwise(0)
+    salt = F.when(slot.isin(hot), 1 + F.pmod(F.xxhash64("name"), F.lit(SALTS)))
+    parts = [F.coalesce(salt, F.lit(0)).cast("long").alias("part")] if hot else []
     # in one order names compare as they are, in the next with their bits turned, and so on
     turn = F.pmod("band", F.lit(PIVOTS)) * F.lit(0x5DEECE66D1CE4E5B)
-    keyed = shelved.select("band", part.cast("long").alias("part"), F.col("name").bitwiseXOR(turn).alias("key"))
-    dealt = keyed.repartition("band", "part")
+    keyed = shelved.select("band", *parts, F.col("name").bitwiseXOR(turn).alias("key"))
+    by = ["band", "part"] if hot else ["band"]
+    dealt = keyed.repartition(*by).sortWithinPartitions(*by, "key")
 
     def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = part = pivot = 0
         begun = shown = False  # whether a run is open, and whether its pivot has been put out
         for batch in batches:
-            columns = bands, parts, keys = [batch.column(c).to_numpy() for c in ("band", "part", "key")]
+            bands, keys = batch.column("band").to_numpy(), batch.column("key").to_numpy()
             if not len(bands):
                 continue
+            parts = batch.column("part").to_numpy() if hot else np.zeros(len(bands), np.int64)
             new = np.ones(len(bands), bool)
             new[1:] = (bands[1:] != bands[:-1]) | (parts[1:] != parts[:-1])
             new[0] = not (begun and (bands[0], parts[0]) == (band, part))
@@ -376,10 +414,10 @@ def _shelves(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
             late = np.array(late, np.int64).reshape(-1, 4)
             shown = bool(full[run[-1]] or parts[-1] > 0 or (shown and not run[-1]))
             begun, band, part, pivot = True, int(bands[-1]), int(parts[-1]), int(heads[-1])
-            rows = [pa.array(np.concatenate([x[out], late[:, k]])) for k, x in enumerate((*columns, heads))]
+            rows = [pa.array(np.concatenate([x[out], late[:, k]])) for k, x in enumerate((bands, parts, keys, heads))]
             yield pa.RecordBatch.from_arrays(rows, names=["band", "part", "key", "head"])
 
-    runs = dealt.sortWithinPartitions("band", "part", "key").mapInArrow(first_of_each, "band long, part long, key long, head long")
+    runs = dealt.mapInArrow(first_of_each, "band long, part long, key long, head long")
     back = [F.col(c).bitwiseXOR(turn).alias(n) for c, n in (("key", "name"), ("head", "pivot"))]
     shelves = keep(runs.select("band", "part", *back), "shelves")
     heads = shelves.filter("part > 0").select("band", "pivot").distinct()
@@ -459,7 +497,7 @@ def classes(kept: DataFrame, docs: DataFrame) -> DataFrame:
     told = shelves.join(roots, "name", "left").select("band", "name", F.coalesce("root", "name").alias("root")).distinct()
     unlike = told.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
     several = unlike.filter("lo < hi AND n > 2").select("band")  # where there are two, the other has met the pivot
-    mixed = keep(told.join(several, "band").join(texts, "name"), "mixed")
+    mixed = keep(told.join(several, "band").join(texts.drop("marks"), "name"), "mixed")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / (BLOCK_ROWS << 11)))
     merged = keep(components(_across(mixed, mixed.groupBy("band").agg(blocks.alias("blocks")))), "merged")
     least = merged.select(F.col("id").alias("root"), F.col("root").alias("least"))
@@ -520,14 +558,17 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        drops = [set(places.tolist()) for places in gone]
-        parts = [[x for i, x in enumerate(t.split("\n")) if i not in drop] for t, drop in zip(texts, drops, strict=True)]
-        return pd.Series(["\n".join(x) for x in parts], dtype=object)
+        out = []
+        for text, places in zip(texts, gone, strict=True):
+            drop = set() if text is None else set(places.tolist())
+            out.append(None if text is None else "\n".join([x for i, x in enumerate(text.split("\n")) if i not in drop]))
+        return pd.Series(out, dtype=object)
 
     numbered = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = keep(numbered.withColumn("row", F.monotonically_increasing_id()), "numbered")
     found, counts = dropped(rows.select("row", "doc_id", "text"))
     gone = found.groupBy("row").agg(F.collect_list("place").alias("gone")).join(counts.select("row", "n_lines"), "row")
     joined = rows.join(gone, "row", "left").filter(F.col("gone").isNull() | (F.size("gone") < F.col("n_lines")))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(without("text", "gone"))
+    cut = without(F.when(F.col("gone").isNotNull(), F.col("text")), "gone")  # a UDF sees every row, but not every text
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(cut)
     return joined.select(*[text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])
