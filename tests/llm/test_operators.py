@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -118,11 +119,24 @@ def test_op2_agrees_with_brute_force(spark, tmp_path):
     assert _collect(threshold.op2_threshold(spark, str(tmp_path))) == sorted(expected, key=repr)
 
 
+def test_op2_takes_components_of_any_size(spark, tmp_path):
+    rnd = random.Random(3)
+    data = [(i, [rnd.uniform(-1, 1), rnd.uniform(-1, 1)]) for i in range(150)]
+    data += [(151, [1e14, 0.0]), (152, [-3e12, 7.5]), (153, [5e9, 5e9]), (200, [0.004, -1e3]), (250, [1e-30, -1e-30]), (300, [])]
+    spark.createDataFrame(data, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    part = {i: [math.floor(256 * x) for x in v] for i, v in data}
+    expected = []
+    for q in (i for i in part if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(part[q], v)), i) for i, v in part.items() if i != q)[:5]
+        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert _collect(threshold.op2_threshold(spark, str(tmp_path))) == sorted(expected, key=repr)
+
+
 def test_op2_stops_early_and_stays_exact():
     rnd = np.random.default_rng(4)
     matrix = (rnd.normal(size=(2000, 4)) * 100).astype(np.int64)
     matrix[:5] += 1000
-    lists = threshold.Lists(4, np.arange(2000, dtype="<i8").tobytes(), matrix.tobytes(), np.argsort(matrix, axis=0, kind="stable").T.astype("<i4").copy().tobytes())
+    lists = threshold.Lists(4, np.arange(2000, dtype="<i8").tobytes(), matrix.astype(np.float64).tobytes(), np.argsort(matrix, axis=0, kind="stable").T.astype("<i4").copy().tobytes())
     query = np.array([3.0, 2.0, 1.0, 1.0])
     scores = matrix @ query.astype(np.int64)
     assert lists.best(query, -1, 5) == [(int(scores[i]), int(i)) for i in np.lexsort((np.arange(2000), -scores))[:5]]
@@ -388,6 +402,33 @@ def test_op8_learns_planted_words(spark, tmp_path):
     assert sum(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held) >= 0.9 * len(held)
 
 
+def test_op8_windows_cover_every_word():
+    for n in range(12):
+        words = [f"w{k}" for k in range(n)]
+        found = toxicity.windows(" \n".join(words).upper())
+        assert {w for x in found for w in x.decode().split()} == set(words)
+        assert all(len(x.split()) <= toxicity.WINDOW_WORDS for x in found) and len(found) == max(int(n > 0), n // 2)
+
+
+def test_op8_distances_agree_with_single_compressions():
+    toxic, ordinary = b" you utter dratted vexicon " * 20, b" the river and the boats walk along " * 20
+    distance = toxicity.Distance(ordinary, toxic)
+    text = "the river and utter dratted vexicon boats walk along you and"
+    one_by_one = [
+        len(distance._compressors[0].compress(w + b" " * 32)) - len(distance._compressors[1].compress(w + b" " * 32))
+        for w in toxicity.windows(text)
+    ]
+    assert distance.windows(text).tolist() == one_by_one and max(one_by_one) > 3
+    assert distance.features(None).tolist() == distance.features(" \n").tolist() == [0.0] * toxicity.N_FEATURES
+
+
+def test_op8_samples_whole_rows_within_bounds(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 100)
+    rows = [(i, i % 2, i, 30 if i else 1000) for i in range(20)]
+    taken = toxicity._within_bounds(spark.createDataFrame(rows, "doc_id long, y int, u long, n_bytes long"))
+    assert taken == [1, 2, 3, 4, 5, 6]
+
+
 def _repeat_words(words: list[str]) -> int:
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
     counts = Counter(windows)
@@ -473,3 +514,30 @@ def test_op10_one_row_of_each_component_where_doc_ids_repeat(spark):
     rows = [(5, "zz " + a), (5, b), (2, same), (7, c), (7, d), (7, d), (None, "x"), (None, "x"), (9, None), (8, "")]
     found = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, found), key=repr) == sorted([(5, "zz " + a), (2, same), (7, c), (7, d), (None, "x"), (8, "")], key=repr)
+
+
+def test_op10_one_of_each_keeps_columns_of_any_name(spark):
+    columns = "doc_id long, text string, doc string, id int, hash string, root string, n string, fp string, head string"
+    rows = [(k % 4, f"text of the class {k % 3}", "d", k % 4, "h", "r", "n", "f", "e") for k in range(12)] + [(None, "z", "d", 1, "h", "r", "n", "f", "e")]
+    docs = spark.createDataFrame(rows, columns)
+    found = simhash.one_of_each(docs)
+    marks = {(r["doc_id"], r["text"]) for r in found.collect()}
+    assert found.columns == docs.columns and found.count() == 4 and {t for _, t in marks} == {r[1] for r in rows}
+    assert all(tuple(r)[2:] in {x[2:] for x in rows} for r in found.collect())
+
+
+def test_op10_recall_of_near_copies(spark):
+    """One word changed in 500 stays within three bits nearly always, one in 100 seldom: the README gives the limit."""
+    rnd = random.Random(2)
+
+    def share(words: int, changes: int) -> float:
+        found = 0
+        for _ in range(150):
+            text = ["".join(rnd.choices("abcdefghijklmnop", k=5)) for _ in range(words)]
+            copy = list(text)
+            for at in rnd.sample(range(words), changes):
+                copy[at] = "changed"
+            found += bin(simhash.fingerprint(" ".join(text)) ^ simhash.fingerprint(" ".join(copy))).count("1") <= simhash.MAX_DISTANCE
+        return found / 150
+
+    assert share(2000, 1) >= 0.97 and share(500, 1) >= 0.75 and share(100, 1) <= 0.5
\ No newline at end of file
