@@ -190,10 +190,30 @@ def shingles(line: str) -> frozenset[str]:
     return frozenset([line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))])
 
 
+@functools.lru_cache(256)
+def keys(line: str) -> np.ndarray | None:
+    """The shingles as sorted numbers, 12 bits a character; None for lines with other characters or less than a shingle."""
+    codes = np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    if len(codes) < SHINGLE or codes.max() >= 1 << 12:
+        return None
+    n = len(codes) - SHINGLE + 1
+    key = codes[:n]
+    for k in range(1, SHINGLE):
+        key = (key << 12) | codes[k : n + k]
+    key.sort()
+    return key[np.concatenate([[True], key[1:] != key[:-1]])]
+
+
 def jaccard(a: str, b: str) -> float:
     """The similarity of two lines as they are compared."""
-    x, y = shingles(a), shingles(b)
-    both = len(x & y)
+    x, y = keys(a), keys(b)
+    if x is None or y is None:
+        x, y = shingles(a), shingles(b)
+        both = len(x & y)
+    else:
+        merged = np.concatenate([x, y])
+        merged.sort(kind="stable")
+        both = int(np.count_nonzero(merged[1:] == merged[:-1]))
     return both / (len(x) + len(y) - both)
 
 

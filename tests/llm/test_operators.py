@@ -316,6 +316,22 @@ def test_op7_counts_overlaps_exactly():
             assert sizes.tolist() == [len(line_dedup.shingles(x)) for x in lines]
 
 
+def test_op7_marks_and_numbers_agree_with_sets():
+    rnd = random.Random(7)
+    for alphabet in ("ab ", "abcdefghij\u00e9", "ab\u6f22\u5b57"):
+        lines = ["".join(rnd.choices(alphabet, k=rnd.choice([1, 4, 5, 30, 400]))) for _ in range(60)]
+        lines += [x[:-1] + "#" for x in lines]
+        sets = [line_dedup.shingles(x) for x in lines]
+        hashes, counts = line_dedup.shingle_hashes(lines)
+        bits = line_dedup.marks(np.repeat(np.arange(len(lines)), counts), hashes, len(lines))
+        sizes = np.array([len(x) for x in sets])
+        for i in range(len(lines)):
+            exact = [len(sets[i] & y) / len(sets[i] | y) for y in sets]
+            assert [line_dedup.jaccard(lines[i], y) for y in lines] == exact
+            may = line_dedup.may_be_alike(np.repeat(bits[i : i + 1], len(lines), 0), bits, np.full(len(lines), sizes[i]), sizes)
+            assert all(m or e < line_dedup.SIMILARITY for m, e in zip(may, exact, strict=True))
+
+
 def test_op7_bands_find_pairs_at_the_threshold():
     rnd = random.Random(5)
     for length in (49, 120, 900):
