@@ -83,7 +83,7 @@ def as_of_join(spark, sf_dir):
 
 
 def left_conditional_join(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").filter("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_returnflag")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
     return J.conditional_left(items, orders, ["l_orderkey"], F.col("l_returnflag") != "R")
 
@@ -123,7 +123,7 @@ def full_outer(spark, sf_dir):
 
 
 def window_frames(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_custkey < 200").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return o.select(
         "o_orderkey", F.row_number().over(w).cast("long").alias("n"), F.rank().over(w).cast("long").alias("r"),
@@ -175,13 +175,12 @@ ORACLE_SQL = {
     "semi_in_subquery": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)",
     "recovery_plan": "SELECT user_id AS path, max(ts) AS ts FROM events WHERE user_id % 3 = 2 GROUP BY 1 HAVING max(ts) >= TIMESTAMP '2024-01-30'",
     "audit_prune": "SELECT event_type, count(*) AS n, min(ts) AS oldest FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1",
-    "range_join_cover": """WITH b AS (SELECT conv_id, turn AS lo, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) - 1, 1000) AS hi FROM conversations WHERE role = 'user')
+    "range_join_cover": """WITH b AS (SELECT conv_id, turn AS lo, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) - 1, 2147483647) AS hi FROM conversations WHERE role = 'user')
         SELECT c.conv_id, c.turn, min(b.lo) AS chunk FROM conversations c LEFT JOIN b ON b.conv_id = c.conv_id AND c.turn BETWEEN lo AND hi GROUP BY ALL""",
     "as_of_join": """WITH b AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
         e AS (SELECT user_id, ts, max(event_id) AS error_id FROM events WHERE event_type = 'error' GROUP BY ALL)
         SELECT b.event_id, b.user_id, b.ts, e.error_id FROM b ASOF LEFT JOIN e ON b.user_id = e.user_id AND b.ts >= e.ts""",
-    "left_conditional_join": """SELECT l_orderkey, l_linenumber, l_returnflag, o_orderstatus FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND l_returnflag <> 'R'
-        WHERE l_orderkey < 2000""",
+    "left_conditional_join": """SELECT l_orderkey, l_linenumber, l_returnflag, o_orderstatus FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND l_returnflag <> 'R'""",
     "self_parent": """WITH n AS (SELECT n_nationkey, n_name, CASE WHEN n_nationkey > 4 THEN n_nationkey % 5 END AS parent FROM nation)
         SELECT p.n_nationkey AS parent, c.n_nationkey AS child, row_number() OVER (PARTITION BY p.n_nationkey ORDER BY c.n_name, c.n_nationkey) AS n FROM n p JOIN n c ON c.parent = p.n_nationkey""",
     "star_join": """SELECT r_name, o_orderstatus, count(o_orderkey) AS n_orders, count(DISTINCT c_custkey) AS n_customers FROM customer JOIN nation ON c_nationkey = n_nationkey
@@ -194,7 +193,7 @@ ORACLE_SQL = {
     "full_outer": """SELECT coalesce(s.k, c.k) AS k, suppliers, customers FROM (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_nationkey < 15 GROUP BY 1) s
         FULL JOIN (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_nationkey >= 10 GROUP BY 1) c ON s.k = c.k""",
     "window_frames": """SELECT o_orderkey, row_number() OVER w AS n, rank() OVER w AS r, lag(o_orderkey) OVER w AS before, ntile(4) OVER w AS quarter,
-        max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS 2 PRECEDING) AS top3 FROM orders WHERE o_custkey < 200
+        max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS 2 PRECEDING) AS top3 FROM orders
         WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
     "approx_aggregates": "SELECT true AS close, count(DISTINCT o_custkey) AS customers FROM orders",
     "tumbling_events": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
