@@ -8,7 +8,7 @@ adaptive execution may split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from convolake.storage import keep
@@ -31,9 +31,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter(F.col("u") > F.col("v")).distinct()
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _kept(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """``edges`` written and read back, with a digest that is taken as they are written."""
+    seen = Observation()
+    digest = (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+    written = keep(edges.observe(seen, *digest), name)
+    return written, (seen.get["n"], seen.get["sum"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -44,11 +47,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna()
     cur = ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u > v")
-    cur = keep(cur.distinct(), "edges")
-    before = _digest(cur)
+    cur, before = _kept(cur.distinct(), "edges")
     while before[0]:
-        cur = keep(_star(_star(cur, True), False), "stars")
-        after = _digest(cur)
+        cur, after = _kept(_star(_star(cur, True), False), "stars")
         if after == before:
             break
         before = after

@@ -294,11 +294,10 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document: the names of its lines by place, and bands of those that the worker hasn't seen lately."""
     seen: set[int] = set()
     for batch in batches:
-        names, n_lines, fresh, lines = [], [], [], []
+        names, n_lines, ends, new, lines = [], [], [0], [], []
         for text in batch.column("text"):
             found = _lines(text.as_py())
             these = [name(line) for _, line in found]
-            new = []
             for this, (_, line) in zip(these, found, strict=True):
                 if this not in seen:
                     seen.add(this)
@@ -309,14 +308,15 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 by_place[place] = this
             names.append(by_place)
             n_lines.append(len(found))
-            fresh.append(new)
+            ends.append(len(new))
         if len(seen) > SEEN_NAMES:
             seen.clear()
-        ends = np.cumsum([0, *(len(x) * BANDS for x in fresh)])
-        bands = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(_all_bands(lines).reshape(-1)))
-        lists = [pa.array(x, pa.list_(pa.int64())) for x in (names, fresh)]
-        columns = [batch.column("row"), batch.column("doc_id"), pa.array(n_lines, pa.int64()), *lists, bands.cast(pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_lines", "names", "fresh", "bands"])
+        bands = pa.array(_all_bands(lines).reshape(-1)).cast(pa.int64())
+        each = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32) * BANDS), bands)
+        fresh = pa.StructArray.from_arrays([pa.array(new, pa.int64()), each], names=["name", "bands"])
+        lists = [pa.array(names, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fresh)]
+        columns = [batch.column("row"), batch.column("doc_id"), pa.array(n_lines, pa.int64()), *lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_lines", "names", "fresh"])
 
 
 def _filter_bits(names: DataFrame, bits: int) -> bytes:
@@ -398,12 +398,12 @@ def _shelves(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     in their part are among the rows, with themselves as pivot.
     """
     slot = F.pmod("band", F.lit(SLOTS))
-    sampled = kept.sample(SLOT_SAMPLE, seed=1).select(F.explode("bands").alias("band"))
+    sampled = kept.sample(SLOT_SAMPLE, seed=1).select(F.explode(F.flatten("fresh.bands")).alias("band"))
     slots = sampled.groupBy(slot.alias("slot")).count().collect()  # SLOTS rows at most
     mean = sum(r["count"] for r in slots) / SLOTS
     hot = [r["slot"] for r in slots if r["count"] > HOT_ROWS * SLOT_SAMPLE + 4 * mean]
-    put = kept.select("fresh", F.posexplode("bands").alias("pos", "band"))
-    shelved = put.select("band", F.get("fresh", F.expr(f"int(pos div {BANDS})")).alias("name"))
+    each = kept.select(F.explode("fresh").alias("line"))  # in two steps, so that no row carries all of a document's names
+    shelved = each.select(F.col("line.name").alias("name"), F.explode("line.bands").alias("band"))
     salt = F.when(slot.isin(hot), 1 + F.pmod(F.xxhash64("name"), F.lit(SALTS)))
     parts = [F.coalesce(salt, F.lit(0)).cast("long").alias("part")] if hot else []
     # in one order names compare as they are, in the next with their bits turned, and so on
@@ -539,7 +539,7 @@ def _met(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
 
 def dropped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(row, place, root) of the lines of ``docs`` (row, doc_id, text) that are dropped, and (row, doc_id, n_lines) of all documents."""
-    schema = "row long, doc_id long, n_lines long, names array<long>, fresh array<long>, bands array<long>"
+    schema = "row long, doc_id long, n_lines long, names array<long>, fresh array<struct<name: long, bands: array<long>>>"
     kept = keep(docs.select("row", "doc_id", "text").mapInArrow(_named, schema), "lines")
     roots = classes(kept, docs)
     total = kept.agg(F.sum("n_lines")).first()[0] or 0
