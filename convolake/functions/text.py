@@ -57,9 +57,13 @@ def duration_label(seconds: Column) -> Column:
     )
 
 
+SLUG_CHARS = 48
+
+
 def slug(text: Column) -> Column:
-    """Lower case, everything but ASCII letters and digits as single hyphens, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Lower case, everything but ASCII letters and digits as single hyphens, none at the ends, ``SLUG_CHARS`` at most."""
+    whole = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.rtrim(F.substring(whole, 1, SLUG_CHARS), F.lit("-"))
 
 
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -113,11 +117,23 @@ def when(value: str, now: datetime, end: bool = False) -> datetime:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters in bits; 0 for an empty text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
-    return F.aggregate(shares, F.lit(0.0), lambda total, p: total - p * F.log2(p))
+    """Shannon entropy of the characters in bits; 0 for an empty text.
+
+    Characters are sorted within the row, so that a character's count is the length of its run.
+    """
+
+    def of(c: Column) -> Column:
+        n = F.size(c).cast("double")
+        begins = F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | (F.get(c, i) != F.get(c, i - 1)))
+
+        def summed(b: Column) -> Column:
+            shares = F.transform(b, lambda at, k: (F.coalesce(F.get(b, k + 1), F.size(c)) - at) / n)
+            return F.aggregate(shares, F.lit(0.0), lambda total, p: total - p * F.log2(p))
+
+        return F.when(F.size(c) > 0, F.get(F.transform(F.array(begins), summed), 0)).otherwise(F.lit(0.0))
+
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    return F.get(F.transform(F.array(chars), of), 0)
 
 
 def prop(json: str, key: str, kind: str = "long") -> Column:

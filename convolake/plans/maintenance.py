@@ -19,9 +19,9 @@ def latest_version(spark, sf_dir):
 
 
 def upsert_newer(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
-    old = e.filter("event_id % 2 = 0 AND user_id < 100").groupBy("user_id").agg(F.max("ts").alias("ts"), F.max_by("event_id", "ts").alias("event_id"))
-    return M.upserted(old, e.filter("event_id % 2 = 1 AND user_id > 50"), "user_id", "ts")
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    old = e.filter("event_type <> 'purchase'").groupBy("user_id").agg(F.max("ts").alias("ts"), F.max_by("event_id", "ts").alias("event_id"))
+    return M.upserted(old, e.filter("event_type = 'purchase'").drop("event_type"), "user_id", "ts")
 
 
 def retention_prune(spark, sf_dir):
@@ -117,8 +117,8 @@ def set_operations(spark, sf_dir):
 
 
 def full_outer(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").filter("s_nationkey < 15").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"))
-    c = table(spark, sf_dir, "customer").filter("c_nationkey >= 10").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
+    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"))
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
     return s.join(c, "k", "full")
 
 
@@ -162,8 +162,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "latest_version": "SELECT user_id, event_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    "upsert_newer": """WITH o AS (SELECT user_id, max(ts) AS ts, arg_max(event_id, ts) AS event_id FROM events WHERE event_id % 2 = 0 AND user_id < 100 GROUP BY 1),
-        c AS (SELECT user_id, ts, event_id FROM events WHERE event_id % 2 = 1 AND user_id > 50 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1)
+    "upsert_newer": """WITH o AS (SELECT user_id, max(ts) AS ts, arg_max(event_id, ts) AS event_id FROM events WHERE event_type <> 'purchase' GROUP BY 1),
+        c AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1)
         SELECT coalesce(o.user_id, c.user_id) AS user_id, CASE WHEN o.ts IS NULL OR c.ts > o.ts THEN c.ts ELSE o.ts END AS ts,
         CASE WHEN o.ts IS NULL OR c.ts > o.ts THEN c.event_id ELSE o.event_id END AS event_id FROM o FULL JOIN c ON o.user_id = c.user_id""",
     "retention_prune": "SELECT event_id, user_id FROM events WHERE (event_id % 20 = 0) OR ts >= TIMESTAMP '2024-01-20'",
@@ -190,8 +190,8 @@ ORACLE_SQL = {
     "set_operations": """WITH a AS (SELECT o_custkey FROM orders WHERE o_totalprice > 200000), b AS (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')
         SELECT *, 'intersect' AS how FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'except' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
         UNION ALL SELECT *, 'except all' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)""",
-    "full_outer": """SELECT coalesce(s.k, c.k) AS k, suppliers, customers FROM (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_nationkey < 15 GROUP BY 1) s
-        FULL JOIN (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_nationkey >= 10 GROUP BY 1) c ON s.k = c.k""",
+    "full_outer": """SELECT coalesce(s.k, c.k) AS k, suppliers, customers FROM (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1) s
+        FULL JOIN (SELECT c_nationkey AS k, count(*) AS customers FROM customer GROUP BY 1) c ON s.k = c.k""",
     "window_frames": """SELECT o_orderkey, row_number() OVER w AS n, rank() OVER w AS r, lag(o_orderkey) OVER w AS before, ntile(4) OVER w AS quarter,
         max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS 2 PRECEDING) AS top3 FROM orders
         WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",

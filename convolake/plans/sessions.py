@@ -48,7 +48,7 @@ def turn_anchor(spark, sf_dir):
     """The first assistant text and the first system text of each turn, each on its own."""
     rows = _turned(spark, sf_dir)
     for role in ("assistant", "system"):
-        rows = rows.withColumn(role, F.when(F.col("role") == role, F.substring("text", 1, 40)))
+        rows = rows.withColumn(role, F.when(F.col("role") == role, F.col("text")))
     return S.anchors(rows, "conv_id", "turn", "assistant", "system")
 
 
@@ -85,8 +85,8 @@ def session_facts(spark, sf_dir):
 
 def session_summary(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
-    compact = F.when(F.col("role") == "system", F.substring("text", 1, 60))
-    plain = F.when(F.col("role") == "assistant", F.substring("text", 1, 60))
+    compact = F.when(F.col("role") == "system", F.col("text"))
+    plain = F.when(F.col("role") == "assistant", F.col("text"))
     return rows.groupBy("conv_id").agg(S.summary(compact, plain, F.col("turn")).alias("summary"))
 
 
@@ -99,8 +99,8 @@ ORACLE_SQL = {
     "turn_segments": f"{_TURNED} SELECT conv_id, turn, role, turn_id FROM t",
     "turn_text": TURN_TEXT_SQL,
     "turn_anchor": f"""{_TURNED} SELECT conv_id, turn_id,
-        arg_min(CASE WHEN role = 'assistant' THEN substr(text, 1, 40) END, turn) FILTER (role = 'assistant') AS assistant,
-        arg_min(CASE WHEN role = 'system' THEN substr(text, 1, 40) END, turn) FILTER (role = 'system') AS system
+        arg_min(CASE WHEN role = 'assistant' THEN text END, turn) FILTER (role = 'assistant') AS assistant,
+        arg_min(CASE WHEN role = 'system' THEN text END, turn) FILTER (role = 'system') AS system
         FROM t GROUP BY ALL""",
     "closed_turns": f"""{_TURNED}, m AS (SELECT *, max(turn_id) OVER (PARTITION BY conv_id) AS last FROM t)
         SELECT conv_id, turn_id, count(*) AS n_rows FROM m WHERE turn_id < last OR conv_id % 4 = 0 GROUP BY ALL""",
@@ -113,6 +113,6 @@ ORACLE_SQL = {
         arg_max(substr(text, 1, 500), turn) FILTER (role = 'assistant') AS final_reply FROM conversations GROUP BY conv_id""",
     "session_facts": """SELECT user_id, arg_max(event_type, event_id) FILTER (event_id % 4 = 0) AS kind,
         arg_max(round(value, 3), event_id) FILTER (event_id % 7 = 0) AS amount FROM events GROUP BY user_id""",
-    "session_summary": """SELECT conv_id, coalesce(arg_max(substr(text, 1, 60), turn) FILTER (role = 'system'),
-        arg_max(substr(text, 1, 60), turn) FILTER (role = 'assistant')) AS summary FROM conversations GROUP BY conv_id""",
+    "session_summary": """SELECT conv_id, coalesce(arg_max(text, turn) FILTER (role = 'system'),
+        arg_max(text, turn) FILTER (role = 'assistant')) AS summary FROM conversations GROUP BY conv_id""",
 }

@@ -26,7 +26,7 @@ def duration_label(spark, sf_dir):
 
 def slugify(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"), T.folded(F.substring("text", 1, 40)).alias("folded"))
+    return docs.select("doc_id", T.slug(F.col("text")).alias("slug"), F.md5(T.folded(F.col("text"))).alias("folded"))
 
 
 def sha256_text(spark, sf_dir):
@@ -51,7 +51,7 @@ def parsed_times(spark, sf_dir):
 
 
 def text_entropy(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.entropy(F.substring("text", 1, 200)), 6).alias("bits"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.entropy(F.col("text")), 6).alias("bits"))
 
 
 def clipped_args(spark, sf_dir):
@@ -116,15 +116,15 @@ ORACLE_SQL = {
         SELECT doc_id, CASE WHEN n_chars < 1000 THEN n_chars || ' chars' ELSE (t // 10) || '.' || (t % 10) || 'k chars' END AS label FROM t""",
     "duration_label": """WITH d AS (SELECT event_id, event_id * 37 AS s FROM events) SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm'
         WHEN s < 86400 THEN s // 3600 || 'h ' || s % 3600 // 60 || 'm' ELSE s // 86400 || 'd ' || s % 86400 // 3600 || 'h' END AS label FROM d""",
-    "slugify": """SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
-        translate(lower(substr(text, 1, 40)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy') AS folded FROM documents""",
+    "slugify": """SELECT doc_id, rtrim(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), '-') AS slug,
+        md5(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')) AS folded FROM documents""",
     "sha256_text": "SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents",
     "json_props": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS missing FROM events",
     "time_labels": """WITH e AS (SELECT event_id, ts, ts + to_hours(event_id % 48) AS b FROM events) SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso,
         CAST(floor(epoch(ts)) AS BIGINT) AS epoch, CASE WHEN strftime(ts, '%Y-%m-%d %H:%M') = strftime(b, '%Y-%m-%d %H:%M') THEN strftime(ts, '%Y-%m-%d %H:%M')
         ELSE strftime(ts, '%Y-%m-%d %H:%M') || ' → ' || CASE WHEN ts::DATE = b::DATE THEN strftime(b, '%H:%M') ELSE strftime(b, '%Y-%m-%d %H:%M') END END AS span FROM e""",
     "parsed_times": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE CAST(floor(epoch(ts)) AS BIGINT) END AS epoch FROM events",
-    "text_entropy": """WITH c AS (SELECT doc_id, unnest(string_split(substr(text, 1, 200), '')) AS c FROM documents), n AS (SELECT doc_id, c, count(*) AS k FROM c WHERE c <> '' GROUP BY ALL),
+    "text_entropy": """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents), n AS (SELECT doc_id, c, count(*) AS k FROM c WHERE c <> '' GROUP BY ALL),
         s AS (SELECT doc_id, k / sum(k) OVER (PARTITION BY doc_id) AS p FROM n) SELECT doc_id, round(sum(-p * log2(p)), 6) AS bits FROM s GROUP BY doc_id""",
     "clipped_args": "SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 499) || '…' ELSE text END AS text FROM documents",
     "redact_tokens": r"""WITH d AS (SELECT doc_id, 'ghp_' || sha256(text) || ' AIza' || sha256(text) || ' ' || text AS t FROM documents)
