@@ -39,7 +39,7 @@ def address(ip: Column) -> Column:
 def within(ip: Column, networks: list[str]) -> Column:
     """Whether an address lies in any of the networks, as range comparisons."""
     at, inside = address(ip), F.lit(False)
-    for net in map(ipaddress.ip_network, networks):
+    for net in map(ipaddress.IPv4Network, networks):  # raises for others
         inside = inside | at.between(int(net.network_address), int(net.broadcast_address))
     return F.coalesce(inside, F.lit(False))
 

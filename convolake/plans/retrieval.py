@@ -163,13 +163,13 @@ def hybrid_search_capped(spark, sf_dir):
 
 
 def semantic_snippets(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", R.snippet(F.col("text"), "licensed under", 120).alias("snippet"))
 
 
 SNIPPET_SQL = r"""
 WITH m AS (SELECT doc_id, text, length(regexp_extract(text, '(?is)^(.*?)\b(?:licensed|under)', 1)) AS before,
-           regexp_matches(text, '(?i)\b(licensed|under)') AS hit, length(text) AS n FROM documents WHERE lang = 'en'),
+           regexp_matches(text, '(?i)\b(licensed|under)') AS hit, length(text) AS n FROM documents),
 s AS (SELECT *, CASE WHEN hit THEN greatest(0, least(n - 120, before - 60)) ELSE 0 END AS pos FROM m)
 SELECT doc_id, CASE WHEN n <= 120 THEN text ELSE (CASE WHEN pos > 0 THEN '…' ELSE '' END) || trim(substr(text, pos + 1, 120))
   || (CASE WHEN pos + 120 < n THEN '…' ELSE '' END) END AS snippet FROM s

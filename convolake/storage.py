@@ -2,8 +2,8 @@
 
 A written table cuts lineage as ``checkpoint()`` does, but keeps column
 pruning and statistics.  The folder is the one that the cluster names in
-``spark.checkpoint.dir``; only a session without that setting gets a folder of
-this machine.
+``spark.checkpoint.dir``; a local session without that setting gets a folder of
+this machine, and a cluster without it is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not (spark.conf.get("spark.master", "") + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

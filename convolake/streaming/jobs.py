@@ -43,17 +43,13 @@ def upserting(path: str, key: str, version: str):
     """A ``foreachBatch`` function that keeps the newest row of each key in directories numbered by batch.
 
     A batch that is run again writes the same directory anew, so the result
-    doesn't depend on failures; readers take the highest number.
+    doesn't depend on failures; readers take the highest number.  A batch whose
+    predecessor's directory is missing fails, since earlier rows would be lost.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/{number - 1}") if number else None
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
+        old = spark.read.parquet(f"{path}/{number - 1}") if number else None
         new = latest(batch, key, version, version) if old is None else upserted(old, batch, key, version)
         new.write.mode("overwrite").parquet(f"{path}/{number}")
 
