@@ -174,7 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed: F.Column, per_class: int
         for rows in batches:
             yield rows.assign(x=[passages(t).tobytes() for t in rows["text"]])[["doc_id", "y", "x"]]
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+    labelled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = labelled.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one row of each sampled doc_id
     rows = sorted(texts.mapInPandas(measure, "doc_id long, y int, x binary").collect(), key=lambda r: (r["doc_id"], r["x"]))
     bags = [np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH).astype(np.float64) for r in rows]
     y = np.array([r["y"] for r in rows], float)

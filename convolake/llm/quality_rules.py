@@ -80,23 +80,25 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the measurements that the rules use, as long columns."""
+    """``docs`` with the measurements that the rules use, as long columns in place of columns of these names."""
     whole = F.coalesce(F.col(text), F.lit(""))
     bare = F.btrim(whole, F.lit(" \t\n\x0b\f\r"))
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
     lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    held = docs.withColumn("_text", whole).withColumn("_words", words).withColumn("_lines", lines)
+    own = "_" * (1 + max(map(len, docs.columns)))  # longer than any column's name
+    t, w, ln = own + "t", own + "w", own + "l"
+    held = docs.withColumns({t: whole, w: words, ln: lines})
     return held.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_upper": F.regexp_count("_text", F.lit(r"\p{Lu}")).cast("long"),
-            "n_repeat_words": _repeat_words(F.col("_words")),
+            "n_words": F.size(w).cast("long"),
+            "word_chars": F.length(F.array_join(w, "")).cast("long"),
+            "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
+            "n_lines": F.size(ln).cast("long"),
+            "n_dup_lines": (F.size(ln) - F.size(F.array_distinct(ln))).cast("long"),
+            "n_upper": F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"),
+            "n_repeat_words": _repeat_words(F.col(w)),
         }
-    ).drop("_text", "_words", "_lines")
+    ).drop(t, w, ln)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ The table has ``TABLE_SIZE`` rows whatever the data, so it is broadcast, and a
 document finds its shard by one hash and one lookup, without a shuffle.
 
 A null key goes to the slot of the empty string; equal keys always meet on one
-shard.  Repeated rows and extra columns pass through.
+shard.  Repeated rows and extra columns pass through; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -60,10 +60,10 @@ def slot(key: str, size: int = TABLE_SIZE) -> Column:
 
 
 def placed(docs: DataFrame, weights: dict[str, int], key: str = "doc_id", size: int = TABLE_SIZE) -> DataFrame:
-    """``docs`` with ``slot`` and ``shard``."""
+    """``docs`` with ``slot`` and ``shard``, in place of columns of these names."""
     rows = list(enumerate(lookup(weights, size)))
     slots = docs.sparkSession.createDataFrame(rows, "slot int, shard string")
-    return docs.withColumn("slot", slot(key, size)).join(F.broadcast(slots), "slot")
+    return docs.withColumn("slot", slot(key, size)).drop("shard").join(F.broadcast(slots), "slot")
 
 
 def write(docs: DataFrame, weights: dict[str, int], path: str, key: str = "doc_id", max_rows: int = 1_000_000) -> None:

@@ -556,4 +556,11 @@ def test_op10_recall_of_near_copies(spark):
             found += bin(simhash.fingerprint(" ".join(text)) ^ simhash.fingerprint(" ".join(copy))).count("1") <= simhash.MAX_DISTANCE
         return found / 150
 
-    assert share(2000, 1) >= 0.97 and share(500, 1) >= 0.75 and share(100, 1) <= 0.5
\ No newline at end of file
+    assert share(2000, 1) >= 0.97 and share(500, 1) >= 0.75 and share(100, 1) <= 0.5
+
+def test_clashing_names_are_kept_or_replaced(spark):
+    docs = spark.createDataFrame([(1, "ten words or so\nand a line", 5, 6, 7, "x", 8)], "doc_id long, text string, _text int, _words int, _lines int, shard string, slot int")
+    row = quality_rules.ledger(docs).first()
+    assert (row["_text"], row["_words"], row["_lines"], row["n_words"], row["n_lines"]) == (5, 6, 7, 7, 2)
+    found = sharding.placed(docs, {"a": 1})
+    assert sorted(found.columns) == sorted(docs.columns) and found.first()["shard"] == "a"
