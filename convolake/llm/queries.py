@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convolake.llm import bpe, dac, line_dedup, mixing, quality, quality_rules, sharding, simhash, threshold, toxicity
+from convolake.llm import bpe, dac, filter_audit, line_dedup, mixing, quality, quality_rules, sharding, simhash, threshold, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_simhash": simhash.op10_simhash,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_threshold": threshold.OP2_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
