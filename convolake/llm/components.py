@@ -8,6 +8,7 @@ adaptive execution may split.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -55,3 +56,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = after
     roots = cur.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
     return cur.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
+
+
+def spanning(alike: np.ndarray) -> list[tuple[int, int]]:
+    """(member, first member) for all but the first of each component of a symmetric matrix of a block's links."""
+    left, found = np.ones(len(alike), bool), []
+    for seed in np.flatnonzero(alike.any(axis=1)).tolist():
+        front = np.array([seed]) if left[seed] else np.empty(0, int)
+        left[seed] = False
+        while len(front):
+            front = np.flatnonzero(alike[front].any(axis=0) & left)
+            left[front] = False
+            found += [(int(x), seed) for x in front]
+    return found

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convolake.llm import bpe, dac, filter_audit, line_dedup, mixing, quality, quality_rules, sharding, simhash, threshold, toxicity
+from convolake.llm import bpe, dac, filter_audit, line_dedup, mixing, ngram_join, quality, quality_rules, sharding, simhash, threshold, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_simhash": simhash.op10_simhash,
+    "op11_ngram_join": ngram_join.op11_ngram_join,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
