@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,20 +188,21 @@ def decode(tokens: DataFrame, ids: str = "ids", path: str | None = None) -> Data
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, and its ids decoded again."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
-        for rows in batches:
+        for batch in batches:
             found = []
-            for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
+            for text in batch.column("text").to_pylist():
                 ids = codec.encode(text)
                 back = codec.decode(ids)
                 small = ids if array("H", [1]).tobytes()[0] else array("I", ids).byteswap().tobytes()
-                found.append((doc_id, len(ids) // 4, hashlib.sha256(small).hexdigest(), hashlib.sha256(back).hexdigest()))
-            frame = pd.DataFrame(found, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-            yield frame.astype({"doc_id": "Int64", "n_tokens": "int64"})
+                found.append((len(ids) // 4, hashlib.sha256(small).hexdigest(), hashlib.sha256(back).hexdigest()))
+            columns = list(zip(*found, strict=True)) or [(), (), ()]
+            arrays = [pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -223,28 +224,30 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
     are written and never shuffled.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(vocabulary or public_tokenizers.path(VOCABULARY))
         end = struct.pack("<I", end_id)
         seq, within, held, names, size = 0, 0, [], [], 0
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             firsts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in held])])
             payload = pack(np.frombuffer(b"".join(held), "<u4"), firsts)
-            row = {"pid": pid, "seq": seq, "within": within, "n_tokens": size, "doc_ids": list(names), "payload": payload}
-            return pd.DataFrame([row])
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            row = (pid, seq, within, size, list(names), payload)
+            columns = [pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=["pid", "seq", "within", "n_tokens", "doc_ids", "payload"])
 
-        for rows in batches:
-            if not len(rows):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            pid = int(rows["pid"].iloc[0])
-            for null, doc_id, text in zip(rows["doc_id"].isna(), rows["doc_id"], rows["text"], strict=True):
+            pid = batch.column("pid")[0].as_py()
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = encoder.encode(text) + end
                 if held and size + len(ids) // 4 > segment_tokens:
                     yield close()
                     seq, within, held, names, size = seq + 1, within + size, [], [], 0
                 held.append(ids)
-                names.append(None if null else int(doc_id))
+                names.append(doc_id)
                 size += len(ids) // 4
         if held:
             yield close()
@@ -255,7 +258,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
     dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_last(), tie)
     ranked = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), tie).withColumn("pid", F.spark_partition_id())
     schema = "pid int, seq int, within long, n_tokens long, doc_ids array<long>, payload binary"
-    ranked.mapInPandas(run, schema).write.option("compression", "none").parquet(path)
+    ranked.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
 
 
 def starts(segments: DataFrame) -> DataFrame:
@@ -268,23 +271,18 @@ def starts(segments: DataFrame) -> DataFrame:
 def read(segments: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document, from the segments."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for start, names, payload in zip(rows["start"], rows["doc_ids"], rows["payload"], strict=True):
-                segment = Segment(payload)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, names, payload in zip(*(batch.column(c) for c in ("start", "doc_ids", "payload")), strict=True):
+                segment = Segment(payload.as_py())
                 firsts = segment.firsts.astype(np.int64)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pd.array([None if x is None or x != x else int(x) for x in names], "Int64"),
-                        "start": firsts[:-1] + int(start),
-                        "n_tokens": np.diff(firsts),
-                        "ids": [segment.document(k).astype("<u4").tobytes() for k in range(segment.n_docs)],
-                    }
-                )
+                ids = [segment.document(k).astype("<u4").tobytes() for k in range(segment.n_docs)]
+                columns = [names.values, pa.array(firsts[:-1] + start.as_py()), pa.array(np.diff(firsts)), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids"])
 
     placed = segments.join(F.broadcast(starts(segments)), "pid")  # as many rows as the writing job had partitions
     start = F.col("base") + F.col("within")
-    return placed.select(start.alias("start"), "doc_ids", "payload").mapInPandas(
+    return placed.select(start.alias("start"), "doc_ids", "payload").mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids binary"
     )
 
