@@ -128,8 +128,8 @@ def name(x: np.ndarray) -> int:
 
 
 def marks(x: np.ndarray) -> bytes:
-    """A power of two of bits, two or more for each shingle if that isn't too many; each shingle sets one."""
-    bits = min(max(1 << (2 * len(x) - 1).bit_length(), LEAST_MARKS), MOST_MARKS)
+    """A power of two of bits, four or more for each shingle if that isn't too many; each shingle sets one."""
+    bits = min(max(1 << (4 * len(x) - 1).bit_length(), LEAST_MARKS), MOST_MARKS)
     flags = np.zeros(bits, bool)
     flags[x & np.uint64(bits - 1)] = True
     return np.packbits(flags).tobytes()
@@ -177,10 +177,10 @@ def signatures(x: np.ndarray, level: int, often: np.ndarray, weight: float) -> t
     """What a set asks for in a band, and what is indexed of it there if that is its own.
 
     (asked, wanted, listed, rare): the keys that it asks for; which of these
-    are of a kind that is indexed only if it is wanted; the keys of its
-    subsets, and those of its empty subsets and deletions.  ``often`` counts
-    documents of the sample by slots of shingles, each of which stands for
-    ``weight`` documents.
+    are of a kind that is indexed only if it is wanted; of those that it
+    doesn't ask for, the keys of its subsets, and those of its empty subsets
+    and deletions.  ``often`` counts documents of the sample by slots of
+    shingles, each of which stands for ``weight`` documents.
     """
     own = level == band(len(x))
     most = largest(level)
@@ -203,8 +203,8 @@ def signatures(x: np.ndarray, level: int, often: np.ndarray, weight: float) -> t
     wanted = [(counts == 0)[ones], np.ones(int(twos.sum()), bool), (counts == 1)[segment[near]]]
     listed = rare = np.empty(0, np.uint64)
     if own:
-        listed = whole[counts > 0]
-        rare = np.concatenate([whole[counts == 0], _keys(without, segment, level, True)])
+        listed = whole[~ones & (counts > 0)]
+        rare = np.concatenate([whole[~ones & (counts == 0)], _keys(without, segment, level, True)])
     return np.concatenate(asked), np.concatenate(wanted), listed, rare
 
 
@@ -282,9 +282,8 @@ def _listed(docs: DataFrame, often: np.ndarray, weight: float, wanted: bytes) ->
                 for at in levels(len(x)):
                     asked, _, listed, rare = signatures(x, at, counts.value, weight)
                     rare = rare[bloom.may_hold(asked_for.value, rare)]
-                    offered = np.setdiff1d(np.concatenate([listed, rare]), asked, assume_unique=True)
-                    keys += [asked, offered]
-                    ranks += [np.full(len(asked), np.uint64(this) | _ASKS), np.full(len(offered), this, np.uint64)]
+                    keys += [asked, listed, rare]
+                    ranks += [np.full(len(asked), np.uint64(this) | _ASKS), np.full(len(listed) + len(rare), this, np.uint64)]
             columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (keys, ranks)]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "rank"])
 
@@ -475,10 +474,19 @@ def overlaps(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _across(shelves: DataFrame, roots: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between roots of members of one key; each two blocks of a key's members meet in a task."""
+    """Links (a, b) between roots of members of one key.
+
+    Keys whose members are of the same several roots are looked at together,
+    so that a set is met once with a group of roots, and not for each key that
+    they share; each two blocks of such members meet in a task.
+    """
     told = shelves.select("key", "name").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
-    several = told.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
-    several = several.filter("lo < hi AND members > 2")  # of two, the one has met the other as its pivot
+    held = told.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+    held = held.agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(F.xxhash64("root").cast("decimal(38,0)")).alias("of"))
+    several = held.filter("roots > 1 AND n > 2")  # of two, the one has met the other as its pivot
+    told = told.join(several.select("key", F.xxhash64("of", "roots").alias("of")), "key")
+    told = keep(told.select(F.col("of").alias("key"), "name", "root").distinct(), "mixed")
+    several = told.groupBy("key").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
     block = F.pmod(F.xxhash64("name", F.lit(5)), F.col("blocks")).cast("int")
     cut = told.join(several.select("key", blocks.alias("blocks")), "key").withColumn("block", block)

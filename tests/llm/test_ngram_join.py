@@ -116,8 +116,9 @@ def test_alike_sets_always_meet():
         assert level in ngram_join.levels(len(large))
         often[a[: size // 3] & np.uint64(ngram_join.SLOTS - 1)] = 9  # frequent shingles change what is asked for
         asked, wanted, *_ = ngram_join.signatures(large, level, often, 5.0)
-        _, _, listed, rare = ngram_join.signatures(small, level, often, 5.0)
-        assert np.intersect1d(asked, np.concatenate([listed, rare])).size
+        own, _, listed, rare = ngram_join.signatures(small, level, often, 5.0)
+        assert np.intersect1d(asked, np.concatenate([own, listed, rare])).size
+        assert not np.intersect1d(own, np.concatenate([listed, rare])).size
         assert not np.intersect1d(asked[~wanted], rare).size
         assert ngram_join.may_be_alike(ngram_join.marks(a), ngram_join.marks(b), len(a), len(b))
     assert met > 300
