@@ -199,17 +199,15 @@ def _frequent(counts: DataFrame) -> DataFrame:
 
 
 def _spelt(docs: DataFrame, frequent: dict[int, bytes]) -> DataFrame:
-    """(size, key, lang, phrase, parts) of the phrases that may be frequent; parts are the keys of l and r for each cut."""
+    """(key, lang, phrase) of the phrases that may be frequent."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("size", pa.int32()), ("key", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("parts", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {size: np.empty(0, np.uint64) for size in held.value}
         for batch in batches:
-            rows = []
-            for texts, langs in _each(batch):
+            for texts, langs in _each(batch):  # a slice's phrases go at once, so that no batch holds all of its own
                 w, grams = _grams(texts, langs)
-                signed = [x.view(np.int64) for x in grams]
+                found, phrases, of = [], [], []
                 for size, filter_ in held.value.items():
                     keys, at = np.unique(grams[size - 1], return_index=True)
                     good = (keys != 0) & bloom.may_hold(filter_, keys)
@@ -217,13 +215,31 @@ def _spelt(docs: DataFrame, frequent: dict[int, bytes]) -> DataFrame:
                     seen[size] = np.union1d(seen[size], keys[good]) if len(seen[size]) < SEEN else keys[good]
                     for i in at[good].tolist():
                         spans = zip(w.starts[i : i + size].tolist(), w.ends[i : i + size].tolist(), strict=True)
-                        phrase = b" ".join([w.data[a:b].tobytes() for a, b in spans]).decode("utf-8", "replace")
-                        parts = [int(x) for k in range(1, size) for x in (signed[k - 1][i], signed[size - k - 1][i + k])]
-                        rows.append((size, int(signed[size - 1][i]), langs[w.doc[i]], phrase, parts))
-            columns = list(zip(*rows, strict=True)) or [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, schema.types, strict=True)], schema=schema)
+                        phrases.append(b" ".join([w.data[a:b].tobytes() for a, b in spans]).decode("utf-8", "replace"))
+                        of.append(langs[w.doc[i]])
+                    found.append(keys[good].view(np.int64))
+                arrays = [pa.array(np.concatenate(found)), pa.array(of, pa.string()), pa.array(phrases, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "lang", "phrase"])
+
+    return docs.mapInArrow(run, "key long, lang string, phrase string").distinct()
+
+
+def _parted(phrases: DataFrame) -> DataFrame:
+    """``phrases`` (key, lang, phrase) with their number of words and the keys of l and r for each cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, grams = _grams(words.as_bytes(batch.column("phrase")), batch.column("lang").to_pylist())
+            sizes = np.bincount(w.doc, minlength=batch.num_rows)
+            firsts, signed = (np.cumsum(sizes) - sizes).tolist(), [x.view(np.int64) for x in grams]
+            parts = [
+                [int(x) for k in range(1, n) for x in (signed[k - 1][i], signed[n - k - 1][i + k])]
+                for i, n in zip(firsts, sizes.tolist(), strict=True)
+            ]
+            arrays = [pa.array(sizes.astype(np.int32)), *batch.columns, pa.array(parts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["size", "key", "lang", "phrase", "parts"])
 
-    return docs.mapInArrow(run, "size int, key long, lang string, phrase string, parts array<long>").distinct()
+    return phrases.mapInArrow(run, "size int, key long, lang string, phrase string, parts array<long>")
 
 
 def _read(wanted: DataFrame, counts: DataFrame) -> DataFrame:
@@ -270,7 +286,7 @@ def scored(docs: DataFrame) -> DataFrame:
         counts.append(counted(blocks, size))
         frequent[size] = bloom.held(_frequent(counts[-1]), "key")
     every = counts[0].unionByName(counts[1]).unionByName(counts[2])
-    phrases = keep(_spelt(rows, {k: frequent[k] for k in (2, 3)}), "phrases")
+    phrases = keep(_parted(_spelt(rows, {k: frequent[k] for k in (2, 3)})), "phrases")
 
     part_size = F.when((F.col("size") == 3) & F.col("pos").isin(1, 2), 2).otherwise(1)
     parts = phrases.select("size", "key", F.posexplode("parts").alias("pos", "part")).withColumn("part_size", part_size)
