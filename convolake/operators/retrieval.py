@@ -1,8 +1,6 @@
-"""Ranked retrieval: BM25, a small query language, cosine search, fusion, recency and caps.
+"""Ranked retrieval: a small query language, cosine search, fusion, recency, caps and snippets.
 
-Statistics are of the whole table, before any filter, as a keyword index has
-them.  A query is scored by one scan of the texts: term counts come from the
-token array within the row, and the statistics are one broadcast row.
+Keyword queries are read here and searched by ``operators.index``.
 """
 
 from __future__ import annotations
@@ -21,6 +19,7 @@ from convolake.functions.text import tokens
 K1, B = 1.2, 0.75
 MIN_IDF = 1e-6
 CANDIDATES = 50
+MAX_KNN = 4096
 RRF_K = 60
 MAX_PER_SESSION = 3
 HALF_LIFE_DAYS = 90.0
@@ -33,22 +32,6 @@ class Phrase:
     words: tuple[str, ...]
     prefix: bool = False
 
-    def count(self, toks: Column) -> Column:
-        """How often the phrase occurs in a token array."""
-        if len(self.words) == 1:
-            word = self.words[0]
-            return F.size(F.filter(toks, lambda t: t.startswith(word) if self.prefix else t == word))
-
-        def here(i: Column) -> Column:
-            same = [
-                F.get(toks, i + k).startswith(w) if self.prefix and k == len(self.words) - 1 else F.get(toks, i + k) == w
-                for k, w in enumerate(self.words)
-            ]
-            return reduce(lambda a, b: a & b, same)
-
-        room = F.size(toks) - len(self.words)
-        return F.when(room >= 0, F.size(F.filter(F.sequence(F.lit(0), F.greatest(room, F.lit(0))), here))).otherwise(0)
-
 
 Node = tuple  # ("phrase", Phrase) | ("and" | "or" | "not", left, right)
 
@@ -125,56 +108,14 @@ def _parse(query: str) -> Node:
     return found
 
 
-def phrases(node: Node) -> list[Phrase]:
-    """The phrases that add to a score: all but those behind NOT."""
-    if node[0] == "phrase":
-        return [node[1]]
-    return phrases(node[1]) + ([] if node[0] == "not" else phrases(node[2]))
-
-
-def _match(node: Node, toks: Column) -> Column:
-    if node[0] == "phrase":
-        return node[1].count(toks) > 0
-    left, right = _match(node[1], toks), _match(node[2], toks)
-    return {"and": left & right, "or": left | right, "not": left & ~right}[node[0]]
-
-
-def bm25(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
-    """``docs`` that match, with ``score``; statistics are of all of ``docs``."""
-    node = parse(query)
-    scored = list(dict.fromkeys(phrases(node)))
-
-    def counts(toks: Column) -> Column:
-        found = [p.count(toks).alias(f"_f{i}") for i, p in enumerate(scored)]
-        return F.struct(F.size(toks).alias("_dl"), _match(node, toks).alias("_hit"), *found)
-
-    # as an element of an array the tokens are made once, not anew for each use
-    counted = docs.withColumn("_c", F.get(F.transform(F.array(tokens(text)), counts), 0)).select(*docs.columns, "_c.*")
-    stats = counted.agg(
-        F.count("*").alias("_n"),
-        F.avg("_dl").alias("_avg"),
-        *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_df{i}") for i in range(len(scored))],
-    )
-    both = counted.filter("_hit").crossJoin(F.broadcast(stats))  # one row
-
-    def part(i: int) -> Column:
-        df, f = F.col(f"_df{i}"), F.col(f"_f{i}")
-        idf = F.log((F.col("_n") - df + 0.5) / (df + 0.5))
-        norm = f + K1 * (1 - B + B * F.col("_dl") / F.col("_avg"))
-        return F.when(idf > 0, idf).otherwise(MIN_IDF) * f * (K1 + 1) / norm
-
-    score = reduce(lambda a, b: a + b, [part(i) for i in range(len(scored))])
-    return both.withColumn("score", score).select(*docs.columns, "score")
-
-
 def top(scored: DataFrame, key: str, k: int = CANDIDATES, score: str = "score") -> DataFrame:
     """The ``k`` best rows with ``rank``, from 1; ties go to the smaller key."""
     best = scored.orderBy(F.desc(score), key).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)).cast("long"))
 
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, doc_id, tf): the inverted index, counted on the map side before it is dealt by term."""
+def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, doc_id, tf) of words as they are spelt, counted on the map side before they are dealt by term."""
     words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(text)).alias("term"))
     return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
@@ -192,6 +133,28 @@ def cosine(vectors: DataFrame, query: DataFrame, embedding: str = "embedding") -
     return both.withColumn("score", F.when(norm > 0, dot(embedding, "_q") / norm).otherwise(0.0)).drop("_q")
 
 
+def filtered_nearest(
+    vectors: DataFrame, query: DataFrame, allowed: DataFrame, key: str, k: int = CANDIDATES, first: int = CANDIDATES, most: int = MAX_KNN
+) -> DataFrame:
+    """(key, score, rank) of the ``k`` nearest vectors whose key is ``allowed``.
+
+    The filter is of another table, so few candidates are met with it: the
+    nearest ``first``, then four times as many, until enough pass.  Each round
+    is a bounded top-n.  Where even ``most`` don't do, the filter goes first, so
+    that none is lost.
+    """
+    near = cosine(vectors, query).select(key, "score")
+    n = first
+    while True:
+        best = near.orderBy(F.desc("score"), key).limit(n)
+        seen = best.agg(F.count("*").alias("n")).crossJoin(best.join(allowed.select(key), key, "left_semi").agg(F.count("*").alias("fit"))).first()
+        if seen["fit"] >= k or seen["n"] < n:
+            return top(best.join(allowed.select(key), key, "left_semi"), key, k)
+        if n >= most:
+            return top(near.join(allowed.select(key), key, "left_semi"), key, k)
+        n = min(4 * n, most)
+
+
 def fused(*rankings: DataFrame, key: str = "key", k: int = RRF_K) -> DataFrame:
     """(key, rrf, matched) of rankings (key, rank, source): the sum of 1 / (k + best rank) over the sources."""
     every = reduce(DataFrame.unionByName, [r.select(key, "rank", "source") for r in rankings])

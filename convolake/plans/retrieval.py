@@ -6,14 +6,38 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from convolake.operators import chunking, hits, index, turnchunks
 from convolake.operators import retrieval as R
-from convolake.storage import table
+from convolake.plans.sessions import TURN_TEXT_SQL
+from convolake.storage import fresh_path, keep, table
 
 NOW = datetime(2024, 2, 1)
 _TOKS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
+_FOLDED = _TOKS.replace("lower(coalesce(text, ''))", "strip_accents(lower(coalesce(text, '')))")
+#: The words that have a query word's stem, which SQL has no function for.
+_FORMS = {
+    "under": ("under", "unders", "undered", "undering"),
+    "licensed": ("licens", "license", "licensed", "licenses", "licensing"),
+    "the": ("the", "thes"),
+    "and": ("and", "ands", "anded", "anding"),
+    "und": ("und", "unds", "unded", "unding"),
+}
+_indexes: dict[tuple[str, str, str], str] = {}
+
+
+def keyword_index(spark, sf_dir, name="documents", texts=None) -> index.Index:
+    """The index of ``documents``, or of ``texts(spark, sf_dir)`` (doc_id, text), built once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _indexes:
+        path = fresh_path(spark, "index")
+        index.build(texts(spark, sf_dir) if texts else table(spark, sf_dir, name), path)
+        _indexes[key] = path
+    return index.Index(spark, _indexes[key])
 
 
-def _bm25_sql(match: str, counts: list[str], extra: str = "true", limit: int = 50) -> str:
+def _bm25_sql(
+    match: str, counts: list[str], extra: str = "true", limit: int = 50, source: str = "documents", columns: str = "doc_id, lang, source"
+) -> str:
     f = ", ".join(f"{c} AS f{i}" for i, c in enumerate(counts))
     df = ", ".join(f"count(*) FILTER (f{i} > 0) AS df{i}" for i in range(len(counts)))
     part = " + ".join(
@@ -22,17 +46,17 @@ def _bm25_sql(match: str, counts: list[str], extra: str = "true", limit: int = 5
         for i in range(len(counts))
     )
     return f"""
-    WITH t AS (SELECT *, {_TOKS} AS toks FROM documents),
+    WITH t AS (SELECT *, {_FOLDED} AS toks FROM {source}),
     c AS (SELECT *, len(toks) AS dl, {match} AS hit, {f} FROM t),
     s AS (SELECT count(*) AS n, avg(dl) AS av, {df} FROM c),
-    r AS (SELECT doc_id, lang, source, {part} AS score FROM c, s WHERE hit)
+    r AS (SELECT {columns}, {part} AS score FROM c, s WHERE hit)
     SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank
     FROM r WHERE {extra} ORDER BY rank LIMIT {limit}
     """
 
 
 def _n(word: str) -> str:
-    return f"len(list_filter(toks, lambda t: t = '{word}'))"
+    return f"len(list_filter(toks, lambda t: t IN {_FORMS[word]}))"
 
 
 def _start(word: str) -> str:
@@ -40,44 +64,46 @@ def _start(word: str) -> str:
 
 
 def _pair(a: str, b: str) -> str:
-    return f"len(list_filter(range(1, len(toks)), lambda i: toks[i] = '{a}' AND toks[i + 1] = '{b}'))"
+    return f"len(list_filter(range(1, len(toks)), lambda i: toks[i] IN {_FORMS[a]} AND toks[i + 1] IN {_FORMS[b]}))"
 
 
-def _ranked(docs, query, keep=None, k=50):
-    found = R.bm25(docs, query)
-    best = R.top(found if keep is None else found.filter(keep), "doc_id", k)
+def _ranked(spark, sf_dir, query, keep=None, k=50):
+    found = keyword_index(spark, sf_dir).search(query)
+    if keep is not None:  # of columns beside the text
+        found = found.join(table(spark, sf_dir, "documents").filter(keep).select("doc_id"), "doc_id", "left_semi")
+    best = R.top(found, "doc_id", k)
     return best.select("doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_topk(spark, sf_dir):
-    return _ranked(table(spark, sf_dir, "documents"), "under OR the")
+    return _ranked(spark, sf_dir, "under OR the")
 
 
 def bm25_filtered_topk(spark, sf_dir):
-    return _ranked(table(spark, sf_dir, "documents"), "the and", (F.col("lang") == "en") & F.col("source").isin("src1", "src2"))
+    return _ranked(spark, sf_dir, "the and", (F.col("lang") == "en") & F.col("source").isin("src1", "src2"))
 
 
 def bm25_prefix(spark, sf_dir):
-    return _ranked(table(spark, sf_dir, "documents"), "licen*")
+    return _ranked(spark, sf_dir, "licen*")
 
 
 def bm25_boolean(spark, sf_dir):
-    return _ranked(table(spark, sf_dir, "documents"), "(licensed OR the) NOT und")
+    return _ranked(spark, sf_dir, "(licensed OR the) NOT und")
 
 
 def fts_phrase(spark, sf_dir):
-    return _ranked(table(spark, sf_dir, "documents"), '"licensed under"')
+    return _ranked(spark, sf_dir, '"licensed under"')
 
 
 def fts_fallback(spark, sf_dir):
     """A query that isn't well formed is searched as plain words."""
-    return _ranked(table(spark, sf_dir, "documents"), "licensed (under")
+    return _ranked(spark, sf_dir, "licensed (under")
 
 
 def inverted_index(spark, sf_dir):
-    """Document frequency and total count of every term."""
-    index = R.postings(table(spark, sf_dir, "documents"))
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    """Document frequency and total count of every word as it is spelt."""
+    found = R.term_counts(table(spark, sf_dir, "documents"))
+    return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 INDEX_SQL = f"""
@@ -109,57 +135,143 @@ def _knn_sql(extra: str = "true") -> str:
     """
 
 
-def _rankings(spark, sf_dir):
-    words = R.top(R.bm25(table(spark, sf_dir, "documents"), "the OR licensed"), "doc_id")
+def knn_joined_filter(spark, sf_dir):
+    """The nearest vectors that a rare label of another table admits: more candidates until enough pass."""
     vectors = table(spark, sf_dir, "embeddings")
-    near = R.cosine(vectors, vectors.filter("vec_id = 0")).withColumn("score", F.round("score", 6))
-    knn = R.top(near, "vec_id")
-    return (
-        words.select(F.col("doc_id").alias("key"), "rank", F.lit("keyword").alias("source")),
-        knn.select(F.col("vec_id").alias("key"), "rank", F.lit("semantic").alias("source")),
-    )
+    allowed = vectors.filter("label = 7").select("vec_id")
+    query = vectors.filter("vec_id = 0")
+    near = R.filtered_nearest(vectors.select("vec_id", "embedding"), query, allowed, "vec_id", k=20, first=20, most=1280)
+    return near.select("vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-_RANKINGS_SQL = f"""
-kw AS ({_bm25_sql(f"({_n('the')} > 0 OR {_n('licensed')} > 0)", [_n("the"), _n("licensed")])}),
-kn AS ({_knn_sql()}),
-every AS (SELECT doc_id AS key, rank, 'keyword' AS source FROM kw UNION ALL SELECT vec_id, rank, 'semantic' FROM kn),
-fused AS (SELECT key, sum(1.0 / (60 + rank)) AS rrf, string_agg(source, ',' ORDER BY source) AS matched,
-          min(CASE source WHEN 'keyword' THEN 0 ELSE 1000 END + rank) AS seen FROM every GROUP BY key)
+KNN_JOINED_SQL = """
+WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
+s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) AS score FROM embeddings, q WHERE label = 7)
+SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s ORDER BY rank LIMIT 20
 """
 
 
 def rrf_fusion(spark, sf_dir):
-    found = R.fused(*_rankings(spark, sf_dir))
+    """A ranking by words and one by a phrase, both of documents."""
+    held = keyword_index(spark, sf_dir)
+    asked = {"words": "the OR licensed", "phrase": '"licensed under"'}
+    ranked = [R.top(held.search(q), "doc_id").select(F.col("doc_id").alias("key"), "rank", F.lit(n).alias("source")) for n, q in asked.items()]
+    found = R.fused(*ranked)
     return found.select("key", F.round("rrf", 6).alias("rrf"), F.array_join("matched", ",").alias("matched"))
 
 
-def _ranked_hits(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("session"))
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), "ts")
-    found = R.fused(*_rankings(spark, sf_dir)).join(docs, "key", "left").join(events, "key", "left")
-    return found.withColumn("final", F.round(F.col("rrf") * R.recency(F.col("ts"), NOW), 6))
+def _event_texts(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.concat_ws(" ", "event_type", "props").alias("text"))
 
 
-_HITS_SQL = f"""
-WITH {_RANKINGS_SQL},
-hits AS (
-  SELECT f.key, d.source AS session, matched, seen, round(rrf * CASE WHEN e.ts IS NULL THEN 0.8 ELSE
-    0.8 + 0.2 * pow(0.5, greatest(0.0, (epoch(TIMESTAMP '2024-02-01') - floor(epoch(e.ts))) / 86400.0) / 90.0) END, 6) AS final
-  FROM fused f LEFT JOIN documents d ON d.doc_id = f.key LEFT JOIN events e ON e.event_id = f.key)
-"""
+def recency_rank(spark, sf_dir):
+    """Events by what they say, weighed by their age."""
+    best = R.top(keyword_index(spark, sf_dir, "events", _event_texts).search("errors OR 69"), "doc_id")
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts", "user_id")
+    final = F.round(1.0 / (R.RRF_K + F.col("rank")) * R.recency(F.col("ts"), NOW), 6)
+    hits = best.join(events, "doc_id").select(F.col("doc_id").alias("event_id"), "user_id", final.alias("final"))
+    return hits.orderBy(F.desc("final"), "event_id").limit(30)
 
 
-def recency_rank(spark, sf_dir):
-    hits = _ranked_hits(spark, sf_dir)
-    return hits.select("key", "session", "final").orderBy(F.desc("final"), "key").limit(30)
+def _messages(spark, sf_dir):
+    """Messages of conversations as (doc_id, session, seq, role, text)."""
+    rows = table(spark, sf_dir, "conversations")
+    name = F.concat_ws(":", "conv_id", "turn")
+    return rows.select(name.alias("doc_id"), F.col("conv_id").alias("session"), F.col("turn").alias("seq"), "role", "text")
+
+
+def _turns(spark, sf_dir):
+    rows = _messages(spark, sf_dir).select(
+        "session", "seq", "role", (F.col("role") == "user").alias("is_prompt"), "text", F.col("doc_id").alias("uuid"), F.lit(None).cast("string").alias("ts")
+    )
+    return turnchunks.turns(rows).filter("text <> ''")
+
+
+def _chunk_id(i):
+    padded = [F.lpad(F.col(c).cast("string"), 12, "0") for c in ("session", "seq_start")]
+    return F.concat_ws(":", *padded, F.lpad(i.cast("string"), 4, "0"))
+
+
+def turn_chunks(spark, sf_dir):
+    """Every chunk of the turns of all conversations."""
+    whole = _turns(spark, sf_dir).select("session", "seq_start", "seq_end", "uuid", "text")
+    return chunking.pieces(whole, "text").withColumn("chunk_id", _chunk_id(F.col("i")))
+
+
+def turn_chunks_in_steps(spark, sf_dir):
+    """Ranges of the chunks of conversations that came in two parts, the first chunked as if all were quiet."""
+    rows = _messages(spark, sf_dir).withColumn("is_prompt", F.col("role") == "user").withColumnRenamed("doc_id", "uuid").withColumn("ts", F.lit(None).cast("string"))
+    quiet = rows.select("session").distinct()
+    known = keep(turnchunks.chunks(rows.filter("seq <= 2")), "known")
+    done = rows.filter("seq <= 2").groupBy("session").agg(F.max("seq").alias("chunked_seq"))
+    new, gone, _ = turnchunks.changes(rows, known, done, quiet)
+    now = known.join(gone, ["session", "seq_start"], "left_anti").unionByName(new)
+    return now.groupBy(F.col("session").alias("conv_id"), "seq_start", "seq_end").agg(F.sum(F.when(F.col("i") == 0, 1)).alias("n"))
+
+
+def _first_chunks(spark, sf_dir):
+    """The ranges of turns by their first chunk."""
+    return _turns(spark, sf_dir).withColumn("chunk_id", _chunk_id(F.lit(0)))
+
+
+def _turn_texts(spark, sf_dir):
+    return _first_chunks(spark, sf_dir).select(F.col("chunk_id").alias("doc_id"), "text")
+
+
+def _message_hits(spark, sf_dir):
+    best = R.top(keyword_index(spark, sf_dir, "messages", _messages).search(MESSAGES_QUERY), "doc_id")
+    found = best.join(_messages(spark, sf_dir).select("doc_id", "session", "seq"), "doc_id")
+    return hits.message_keys(found, _first_chunks(spark, sf_dir).select("chunk_id", "session", "seq_start", "seq_end"))
+
+
+def _turn_hits(spark, sf_dir):
+    best = R.top(keyword_index(spark, sf_dir, "turns", _turn_texts).search(TURNS_QUERY), "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    chunks = _first_chunks(spark, sf_dir).select("chunk_id", "session", "seq_start", F.col("seq_start").alias("seq"))
+    return hits.chunk_keys(best.join(chunks, "chunk_id"), chunks)
+
+
+def hit_keys(spark, sf_dir):
+    """The turn that each message found stands for."""
+    return _message_hits(spark, sf_dir).select("doc_id", "rank", "key")
+
+
+def _hybrid(spark, sf_dir):
+    rankings = [hits.best_of(_message_hits(spark, sf_dir), "message"), hits.best_of(_turn_hits(spark, sf_dir), "turn")]
+    return hits.fused([r.withColumn("ts", F.lit(None).cast("timestamp")) for r in rankings], NOW)
 
 
 def hybrid_search_capped(spark, sf_dir):
-    """Keyword and semantic rankings fused, weighed by recency, at most three hits a session, ten in all."""
-    order = [F.desc("final"), F.when(F.col("seen.source") == "keyword", 0).otherwise(1000) + F.col("seen.rank")]
-    best = R.capped(_ranked_hits(spark, sf_dir), "session", order).orderBy(*order).limit(10)
-    return best.select("key", "session", F.array_join("matched", ",").alias("matched"), "final")
+    """Rankings of messages and of turns fused by turn, at most three hits a conversation, ten in all."""
+    return _hybrid(spark, sf_dir).select("key", "session", F.array_join("matched", ",").alias("matched"), "final")
+
+
+def hit_rows(spark, sf_dir):
+    """These hits with the message that was found and the conversation's title, its first prompt."""
+    told = _messages(spark, sf_dir)
+    prompt = F.when(F.col("role") == "user", F.col("seq"))
+    titles = told.groupBy("session").agg(F.min_by(F.substring("text", 1, 40), prompt).alias("title"), F.lit("conversations").alias("source"))
+    chunks = _first_chunks(spark, sf_dir).select("chunk_id", F.col("text").alias("piece"))
+    rows = hits.enriched(_hybrid(spark, sf_dir), told.select("doc_id", "role", "text"), chunks, titles)
+    return rows.select("key", "session", "doc_id", "role", F.length("text").cast("long").alias("chars"), F.length("piece").cast("long").alias("turn_chars"), "title", "source", "final")
+
+
+MESSAGES_QUERY, TURNS_QUERY = "the OR under", "and NOT und"
+_MESSAGES = "(SELECT conv_id || ':' || turn AS doc_id, conv_id, turn, role, text FROM conversations)"
+_TURN_ROWS = f"(SELECT lpad(conv_id::VARCHAR, 12, '0') || ':' || lpad(seq_start::VARCHAR, 12, '0') || ':0000' AS doc_id, * FROM ({TURN_TEXT_SQL}) WHERE text <> '')"
+_HITS_SQL = f"""
+m AS (SELECT * FROM {_MESSAGES}), turns AS (SELECT * FROM {_TURN_ROWS}),
+km AS ({_bm25_sql(f"({_n('the')} > 0 OR {_n('under')} > 0)", [_n("the"), _n("under")], source=_MESSAGES, columns="doc_id")}),
+kt AS ({_bm25_sql(f"{_n('and')} > 0 AND {_n('und')} = 0", [_n("and")], source=_TURN_ROWS, columns="doc_id")}),
+keyed AS (SELECT km.doc_id, rank, m.conv_id, coalesce('chunk:' || t.doc_id, 'doc:' || km.doc_id) AS key
+  FROM km JOIN m USING (doc_id) LEFT JOIN turns t ON t.conv_id = m.conv_id AND m.turn BETWEEN t.seq_start AND t.seq_end),
+every AS (SELECT key, rank, 0 AS place, 'message' AS source, conv_id, doc_id FROM keyed
+  UNION ALL SELECT 'chunk:' || kt.doc_id, rank, 1, 'turn', conv_id, NULL FROM kt JOIN turns USING (doc_id)),
+firsts AS (SELECT key, place, any_value(source) AS source, any_value(conv_id) AS session, min(rank) AS rank, arg_min(doc_id, rank) AS doc_id FROM every GROUP BY key, place),
+merged AS (SELECT key, any_value(session) AS session, string_agg(source, ',' ORDER BY source) AS matched, min(place * 1000 + rank) AS seen,
+  max(doc_id) AS doc_id, round(sum(1.0 / (60 + rank)) * 0.8, 6) AS final FROM firsts GROUP BY key),
+capped AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY final DESC, seen) AS n FROM merged),
+best AS (SELECT * FROM capped WHERE n <= 3 ORDER BY final DESC, seen LIMIT 10)
+"""
 
 
 def semantic_snippets(spark, sf_dir):
@@ -179,7 +291,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_filtered_topk, bm25_prefix, bm25_boolean, fts_phrase, fts_fallback, inverted_index, knn_cosine_topk,
-        knn_filtered_topk, rrf_fusion, recency_rank, hybrid_search_capped, semantic_snippets,
+        knn_filtered_topk, knn_joined_filter, rrf_fusion, recency_rank, turn_chunks, turn_chunks_in_steps, hit_keys, hit_rows,
+        hybrid_search_capped, semantic_snippets,
     )
 }
 
@@ -195,9 +308,24 @@ ORACLE_SQL = {
     "inverted_index": INDEX_SQL,
     "knn_cosine_topk": _knn_sql(),
     "knn_filtered_topk": _knn_sql("label IN (1, 2, 3)"),
-    "rrf_fusion": f"WITH {_RANKINGS_SQL} SELECT key, round(rrf, 6) AS rrf, matched FROM fused",
-    "recency_rank": f"{_HITS_SQL} SELECT key, session, final FROM hits ORDER BY final DESC, key LIMIT 30",
-    "hybrid_search_capped": f"""{_HITS_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY final DESC, seen) AS n FROM hits)
-      SELECT key, session, matched, final FROM c WHERE session IS NULL OR n <= 3 ORDER BY final DESC, seen LIMIT 10""",
+    "knn_joined_filter": KNN_JOINED_SQL,
+    "rrf_fusion": f"""WITH a AS ({_bm25_sql(f"({_n('the')} > 0 OR {_n('licensed')} > 0)", [_n("the"), _n("licensed")])}),
+      b AS ({_bm25_sql(f"{_pair('licensed', 'under')} > 0", [_pair("licensed", "under")])}),
+      every AS (SELECT doc_id AS key, rank, 'words' AS source FROM a UNION ALL SELECT doc_id, rank, 'phrase' FROM b)
+      SELECT key, round(sum(1.0 / (60 + rank)), 6) AS rrf, string_agg(source, ',' ORDER BY source) AS matched FROM every GROUP BY key""",
+    "recency_rank": f"""WITH r AS ({_bm25_sql(
+        "(len(list_filter(toks, lambda t: t IN ('error', 'errors', 'errored'))) > 0 OR len(list_filter(toks, lambda t: t = '69')) > 0)",
+        ["len(list_filter(toks, lambda t: t IN ('error', 'errors', 'errored')))", "len(list_filter(toks, lambda t: t = '69'))"],
+        source="(SELECT event_id AS doc_id, concat_ws(' ', event_type, props) AS text FROM events)", columns="doc_id")}),
+      h AS (SELECT event_id, user_id, round(1.0 / (60 + rank) * (0.8 + 0.2 * pow(0.5, greatest(0.0, (epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts))) / 86400.0) / 90.0)), 6) AS final
+        FROM r JOIN events ON event_id = r.doc_id)
+      SELECT event_id, user_id, final FROM h ORDER BY final DESC, event_id LIMIT 30""",
+    "turn_chunks_in_steps": f"SELECT conv_id, seq_start, seq_end, CAST(1 AS BIGINT) AS n FROM ({TURN_TEXT_SQL}) WHERE text <> ''",
+    "hit_keys": f"WITH {_HITS_SQL} SELECT doc_id, rank, key FROM keyed",
+    "hit_rows": f"""WITH {_HITS_SQL}, titles AS (SELECT conv_id, arg_min(substr(text, 1, 40), turn) FILTER (role = 'user') AS title FROM conversations GROUP BY conv_id)
+      SELECT b.key, b.session, b.doc_id, m.role, length(m.text) AS chars, CASE WHEN matched LIKE '%turn%' THEN length(t.text) END AS turn_chars,
+        coalesce(titles.title, '') AS title, 'conversations' AS source, final
+      FROM best b LEFT JOIN m ON m.doc_id = b.doc_id LEFT JOIN turns t ON b.key = 'chunk:' || t.doc_id LEFT JOIN titles ON titles.conv_id = b.session""",
+    "hybrid_search_capped": f"WITH {_HITS_SQL} SELECT key, session, matched, final FROM best",
     "semantic_snippets": SNIPPET_SQL,
 }

@@ -1,10 +1,14 @@
 """A streaming source for files that only grow: whole lines from where the last batch ended.
 
-The offset is a map from path to (bytes read, hash of the first line).  A file
-that is shorter than what was read, or whose first line has changed, was
-rewritten: it is read from the start again and its rows carry a higher
-``generation``, so a sink can drop the older ones.  The driver only lists files
-and finds the last newline; tasks read the bytes, in ranges of whole lines.
+The offset is a map from path to (bytes read, hash of the first line,
+generation).  A file that is shorter than what was read, or whose first line
+has changed, was rewritten: it is read from the start again and its rows carry
+a higher ``generation``, so a sink can drop the older ones.  A restarted query
+asks for new offsets before it tells the old ones, so those it gets then have
+the generation -1; where a batch begins is decided by comparing the old
+offset's hash with the new one's, whatever was remembered.  The driver only
+lists files, reads first lines and finds the last newline; tasks read the
+bytes, in ranges of whole lines.
 
 Files are opened by path, so they must lie in a folder that all executors
 mount, as append-only logs do; immutable files are better read by Spark's own
@@ -21,6 +25,7 @@ from glob import glob
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 READ_BYTES = 32 << 20
+UNKNOWN = -1
 
 
 class Range(InputPartition):
@@ -31,9 +36,14 @@ class Range(InputPartition):
 
 
 def _first_line(path: str) -> str | None:
+    """The hash of the first line, however long; None if it hasn't ended yet."""
+    digest = hashlib.sha256()
     with open(path, "rb") as f:
-        line = f.readline(READ_BYTES)
-    return hashlib.sha256(line).hexdigest() if line.endswith(b"\n") else None
+        while part := f.readline(READ_BYTES):
+            digest.update(part)
+            if part.endswith(b"\n"):
+                return digest.hexdigest()
+    return None
 
 
 def _whole(path: str, lo: int) -> int:
@@ -63,18 +73,23 @@ class TailReader(DataSourceStreamReader):
             head = _first_line(path)
             if head is None:
                 continue
-            read, known, generation = self.state.get(path, [0, head, 0])
+            read, known, generation = self.state.get(path, [0, head, UNKNOWN])
             if known != head or os.path.getsize(path) < read:
-                read, generation = 0, generation + 1
+                read, generation = 0, generation + 1 if generation >= 0 else UNKNOWN
             self.state[path] = [_whole(path, read), head, generation]
         return {p: list(v) for p, v in self.state.items()}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        self.state = {**{p: list(v) for p, v in end.items()}, **self.state}
         out = []
-        for path, (hi, _, generation) in sorted(end.items()):
-            before = start.get(path)
-            lo = before[0] if before and before[2] == generation else 0
+        for path, (hi, head, generation) in sorted(end.items()):
+            read, known, before = start.get(path, [0, head, UNKNOWN])
+            goes_on = known == head and read <= hi and UNKNOWN in (before, generation) or before == generation >= 0
+            lo = read if goes_on else 0
+            if generation == UNKNOWN:  # as the old offset has it, or else as this run has found it
+                _, _, held = self.state.get(path, [0, head, UNKNOWN])
+                generation = before + (not goes_on) if before >= 0 else max(held, 0)
+            if self.state.setdefault(path, [hi, head, generation])[2] == UNKNOWN:
+                self.state[path][2] = generation
             while lo < hi:  # long files are cut so that a task reads a bounded part
                 upto = hi if hi - lo <= READ_BYTES else max(_line_start(path, lo + READ_BYTES, hi), lo + 1)
                 out.append(Range(path, lo, upto, generation))

@@ -97,32 +97,6 @@ def test_fusion_and_recency(spark):
     assert got == pytest.approx({0: 1.0, 1: 0.9, 2: 0.8, 3: 1.0})
 
 
-@pytest.mark.parametrize(
-    "query,ids",
-    [("cat dog", {1}), ("cat OR bird", {1, 2, 3}), ("cat NOT dog", {2}), ('"dog runs"', {1}), ("bir*", {3}), ("(bird OR cat) NOT dog", {2, 3}), ("cat (dog", {1}), ("do-g", set())],
-)
-def test_query_language(spark, query, ids):
-    docs = spark.createDataFrame([(1, "the cat and dog runs"), (2, "A CAT sleeps"), (3, "bird"), (4, None)], "doc_id long, text string")
-    assert {r["doc_id"] for r in retrieval.bm25(docs, query).collect()} == ids
-
-
-def test_bm25_agrees_with_fts5(spark):
-    import sqlite3
-
-    con = sqlite3.connect(":memory:")
-    try:
-        con.execute("CREATE VIRTUAL TABLE d USING fts5(text, tokenize='unicode61')")
-    except sqlite3.OperationalError:
-        pytest.skip("no FTS5 here")
-    rnd = random.Random(2)
-    texts = [" ".join(rnd.choices(["alpha", "beta", "gamma", "delta", "eps"], weights=[1, 2, 9, 20, 30], k=rnd.randrange(3, 30))) for _ in range(60)]
-    con.executemany("INSERT INTO d(rowid, text) VALUES (?, ?)", list(enumerate(texts, 1)))
-    want = dict(con.execute("SELECT rowid, -bm25(d) FROM d WHERE d MATCH 'alpha OR beta'").fetchall())
-    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in retrieval.bm25(docs, "alpha OR beta").collect()}
-    assert got == pytest.approx(want)
-
-
 def test_cursor_round_trip_and_pages(spark):
     rows = [(datetime(2024, 1, 1 + i % 3), i) for i in range(20)]
     df = spark.createDataFrame(rows, "ts timestamp, id long")
