@@ -1,4 +1,4 @@
-"""A Bloom filter of one hash and at most 32 MB, built by Spark and broadcast."""
+"""A Bloom filter of two bits a number and at most 32 MB, built by Spark and broadcast."""
 
 from __future__ import annotations
 
@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 BITS_EACH = 16
 LEAST, MOST = 1 << 16, 1 << 28
 _PART = 8192
+#: Where the two bits are taken from a number; its lowest bits may be the same in all.
+_FROM = (3, 35)
 
 
 def held(numbers: DataFrame, column: str) -> bytes:
-    """The filter of a long column, whose values need no further hashing; nulls are left out."""
+    """The filter of a long column of hashes, which need no further hashing; nulls are left out."""
     some = numbers.select(F.col(column).alias("x")).dropna().distinct()
     wanted = 1 << (BITS_EACH * max(1, some.count())).bit_length()
     bits = min(max(wanted, LEAST), MOST)
-    bit = F.pmod("x", F.lit(bits))
-    words = some.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+    each = F.explode(F.array(*[F.pmod(F.shiftrightunsigned("x", at), F.lit(bits)) for at in _FROM]))
+    words = some.select(each.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
     words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits"))
 
     def packed(found: pd.DataFrame) -> pd.DataFrame:
@@ -36,6 +38,8 @@ def held(numbers: DataFrame, column: str) -> bytes:
 
 def may_hold(filter_: bytes, x: np.ndarray) -> np.ndarray:
     """Whether each of the unsigned or signed 64-bit numbers may be in the filter."""
-    table = np.frombuffer(filter_, np.uint8)
-    bit = x.astype(np.uint64) & np.uint64(8 * len(table) - 1)
-    return (table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    table, out = np.frombuffer(filter_, np.uint8), np.ones(len(x), bool)
+    for at in _FROM:
+        bit = (x.view(np.uint64) >> np.uint64(at)) & np.uint64(8 * len(table) - 1)
+        out &= (table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return out

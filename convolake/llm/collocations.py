@@ -55,7 +55,7 @@ SCALE = 1_000_000
 #: A candidate goes if a longer one that holds it has this share of its count, in hundredths.
 SHARE = 50
 #: Phrases that a mapper holds before it counts them, and arrays that are summed to a shard's one.
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 BRANCHES = 4
 #: Numbers of the bincount that leaves out rare keys, for each key of the shard.
 SKETCH_ROOM = 4
@@ -96,7 +96,7 @@ def _safe(grams: list[np.ndarray], size: int, frequent: bytes | None) -> np.ndar
 
 def _each(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[str]]]:
     langs = batch.column("lang").to_pylist()
-    for first, texts in words.slices(words.as_bytes(batch.column("text"))):
+    for first, texts in words.slices(batch.column("text")):
         yield texts, langs[first : first + len(texts)]
 
 
@@ -229,7 +229,7 @@ def _parted(phrases: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, grams = _grams(words.as_bytes(batch.column("phrase")), batch.column("lang").to_pylist())
+            w, grams = _grams([x.encode() for x in batch.column("phrase").to_pylist()], batch.column("lang").to_pylist())
             sizes = np.bincount(w.doc, minlength=batch.num_rows)
             firsts, signed = (np.cumsum(sizes) - sizes).tolist(), [x.view(np.int64) for x in grams]
             parts = [
@@ -288,15 +288,14 @@ def scored(docs: DataFrame) -> DataFrame:
     every = counts[0].unionByName(counts[1]).unionByName(counts[2])
     phrases = keep(_parted(_spelt(rows, {k: frequent[k] for k in (2, 3)})), "phrases")
 
-    part_size = F.when((F.col("size") == 3) & F.col("pos").isin(1, 2), 2).otherwise(1)
-    parts = phrases.select("size", "key", F.posexplode("parts").alias("pos", "part")).withColumn("part_size", part_size)
-    wanted = phrases.select("size", "key").unionByName(parts.select(F.col("part_size").alias("size"), F.col("part").alias("key")))
     shard = F.shiftrightunsigned("key", 65 - shards.bit_length()).cast("int")
-    found = keep(_read(wanted.distinct().withColumn("shard", shard), every), "found")
+    told = _read(phrases.select("size", "key", shard.alias("shard")), every).filter(F.col("f") >= LEAST)
+    own = _spelt_once(keep(phrases.join(told.withColumnRenamed("f", "a"), ["size", "key"]), "candidates"))
 
-    own = phrases.join(found, ["size", "key"]).filter(F.col("f") >= LEAST).withColumnRenamed("f", "a")
-    own = _spelt_once(keep(own, "candidates"))
+    part_size = F.when((F.col("size") == 3) & F.col("pos").isin(1, 2), 2).otherwise(1)
     asked = own.select("size", "key", F.posexplode("parts").alias("pos", "part")).withColumn("part_size", part_size)
+    wanted = asked.select(F.col("part_size").alias("size"), F.col("part").alias("key")).distinct()
+    found = keep(_read(wanted.withColumn("shard", shard), every), "found")
     told = asked.join(found.select(F.col("size").alias("part_size"), F.col("key").alias("part"), "f"), ["part_size", "part"])
     each = [F.max(F.when(F.col("pos") == k, F.col("f"))).alias(c) for k, c in enumerate(("l1", "r1", "l2", "r2"))]
     cuts = own.drop("parts").join(told.groupBy("size", "key").agg(*each), ["size", "key"])

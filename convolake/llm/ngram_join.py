@@ -214,7 +214,7 @@ def levels(size: int) -> list[int]:
     return [own, own - 1] if own and 4 * size <= 5 * largest(own - 1) else [own]
 
 
-def _fresh(texts: list[bytes], seen: set[int]) -> Iterator[tuple[int, int, np.ndarray, bool]]:
+def _fresh(texts: pa.Array, seen: set[int]) -> Iterator[tuple[int, int, np.ndarray, bool]]:
     """(place, name, set, whether the worker hasn't seen it lately) of the texts with words."""
     for first, some in words.slices(texts):
         for k, x in enumerate(sets(some), first):
@@ -234,7 +234,7 @@ def _sampled(docs: DataFrame, total: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in words.slices(words.as_bytes(batch.column("text"))):
+            for _, part in words.slices(batch.column("text")):
                 slots = [np.unique(x & np.uint64(SLOTS - 1)) for x in sets(part)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(slots).astype(np.int64))], names=["slot"])
 
@@ -254,7 +254,7 @@ def _described(docs: DataFrame, often: np.ndarray, weight: float) -> DataFrame:
         for batch in batches:
             rows = batch.num_rows
             names, sizes, bits, wanted = [None] * rows, [0] * rows, [None] * rows, [None] * rows
-            for k, this, x, new in _fresh(words.as_bytes(batch.column("text")), seen):
+            for k, this, x, new in _fresh(batch.column("text"), seen):
                 names[k], sizes[k] = this, len(x)
                 if new:
                     bits[k] = marks(x)
@@ -276,7 +276,7 @@ def _listed(docs: DataFrame, often: np.ndarray, weight: float, wanted: bytes) ->
         seen: set[int] = set()
         for batch in batches:
             keys, ranks = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-            for _, this, x, new in _fresh(words.as_bytes(batch.column("text")), seen):
+            for _, this, x, new in _fresh(batch.column("text"), seen):
                 if not new:
                     continue
                 for at in levels(len(x)):
@@ -365,7 +365,7 @@ def _texts(docs: DataFrame, described: DataFrame, names: DataFrame) -> DataFrame
         for batch in batches:
             good = bloom.may_hold(held.value, batch.column("at").to_numpy())
             some = batch.filter(pa.array(good)).column("text")
-            found = [(k, this) for k, this, _, new in _fresh(words.as_bytes(some), seen) if new]
+            found = [(k, this) for k, this, _, new in _fresh(some, seen) if new]
             columns = [pa.array([x for _, x in found], pa.int64()), some.take(pa.array([k for k, _ in found], pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["name", "text"])
 

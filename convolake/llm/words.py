@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of texts that are looked at together, if a text isn't longer, and bytes whose running sums are held at a time.
 SLICE = 1 << 20
@@ -85,18 +86,15 @@ def found(texts: list[bytes], inside: np.ndarray) -> Words:
     return Words(data, starts, ends, np.searchsorted(begins, starts, "right") - 1, mixed(hashes))
 
 
-def as_bytes(column: pa.Array) -> list[bytes]:
-    """A column of strings as UTF-8 bytes, null as empty."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+def slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, texts) of a column of strings, as UTF-8 bytes, null as empty.
 
-
-def slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """(place of the first, texts) of runs of texts with ``SLICE`` bytes or, if it is longer, one text."""
-    first = size = 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > SLICE:
-            yield first, texts[first:k]
-            first, size = k, 0
-        size += len(text) + 1
-    if first < len(texts):
-        yield first, texts[first:]
+    A slice has ``SLICE`` bytes or, if it is longer, one text; only one is held at a time.
+    """
+    raw = column.cast(pa.binary())
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(raw).to_numpy(zero_copy_only=False)).astype(np.int64) + 1)
+    first, begun = 0, 0
+    while first < len(raw):
+        upto = max(first + 1, int(np.searchsorted(ends, begun + SLICE, "right")))
+        yield first, [x or b"" for x in raw.slice(first, upto - first).to_pylist()]
+        first, begun = upto, int(ends[upto - 1])

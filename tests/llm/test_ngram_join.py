@@ -144,7 +144,7 @@ def test_runs_tell_every_member_of_an_asked_key(monkeypatch):
 
 @pytest.mark.parametrize("n", [0, 1, 3000])
 def test_bloom_loses_nothing(spark, n):
-    values = [(k * 0x9E3779B97F4A7C15 + 5) % (1 << 64) - (1 << 63) for k in range(n)]
+    values = words.mixed(np.arange(n, dtype=np.uint64) + np.uint64(1 << 40)).view(np.int64).tolist()
     held = bloom.held(spark.createDataFrame([(v,) for v in values] + [(None,)], "x long"), "x")
     assert bloom.may_hold(held, np.array(values, np.int64)).all()
     other = words.mixed(np.arange(10_000, dtype=np.uint64))
@@ -160,4 +160,7 @@ def test_words_of_odd_texts():
     for (_, x), h in zip(got, w.hashes.tolist(), strict=True):
         by_word[x].add(h)
     assert all(len(h) == 1 for h in by_word.values()) and len(set.union(*by_word.values())) == len(by_word)
-    assert [(k, len(s)) for k, s in words.slices(texts)] == [(0, 3), (3, 1), (4, 2)]
+    column = pa.array([None if t == b"" else t.decode() for t in texts])
+    assert [(k, len(s)) for k, s in words.slices(column)] == [(0, 3), (3, 1), (4, 2)]
+    assert [t for _, s in words.slices(column) for t in s] == texts
+    assert list(words.slices(column.slice(0, 0))) == []
