@@ -22,8 +22,10 @@ Words, pairs and triples are counted one after the other:
    verify them by the stored keys and bincount into arrays of one number a
    slot; a shard's arrays are summed up the tree.
 
-The phrases of frequent keys are then spelt by one more pass, and the counts of
-a phrase and of the parts of its cuts are read from the arrays by slot.  So no
+The phrases of frequent keys are then spelt, first from a few documents, in
+which the most frequent ones occur, then from more, and what is left from all,
+so that a phrase is told a few times and not by every task.  The counts of a
+phrase and of the parts of its cuts are read from the arrays by slot.  So no
 task or driver holds all candidates, and nothing but filters of at most 32 MB
 is broadcast.
 
@@ -62,6 +64,8 @@ SKETCH_ROOM = 4
 #: Parts in which a language's candidates are ranked before they are ranked together.
 SALTS = 64
 SEEN = 500_000
+#: Phrases are spelt from one in so many documents, by a hash of their texts; at last from all.
+SPELL = (64, 8, 1)
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _WORD = words.flags(_SEPARATORS + b" \t")
 _SEPARATE = ~words.flags(_SEPARATORS)
@@ -186,16 +190,17 @@ def counted(blocks: DataFrame, size: int) -> DataFrame:
 
 
 def _frequent(counts: DataFrame) -> DataFrame:
-    """(key) of the phrases with ``LEAST`` places or more."""
+    """(size, key) of the phrases with ``LEAST`` places or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for made, sums in zip(batch.column("hash"), batch.column("sums"), strict=True):
+            for size, made, sums in zip(*(batch.column(c) for c in ("size", "hash", "sums")), strict=True):
                 good = np.frombuffer(sums.as_py(), "<i8") >= LEAST
                 keys = PerfectHash.unpack(made.as_py()).keys[good].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
+                sizes = np.full(len(keys), size.as_py(), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(keys)], names=["size", "key"])
 
-    return counts.select("hash", "sums").mapInArrow(run, "key long")
+    return counts.select("size", "hash", "sums").mapInArrow(run, "size int, key long")
 
 
 def _spelt(docs: DataFrame, frequent: dict[int, bytes]) -> DataFrame:
@@ -224,6 +229,20 @@ def _spelt(docs: DataFrame, frequent: dict[int, bytes]) -> DataFrame:
     return docs.mapInArrow(run, "key long, lang string, phrase string").distinct()
 
 
+def _phrases(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, lang, phrase) of all frequent phrases, and some others that share a filter's bits with them."""
+    left = keep(_frequent(counts), "frequent")
+    parts = docs.rdd.getNumPartitions()
+    told = None
+    for one_in in SPELL:
+        some = docs if one_in == 1 else docs.filter(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).coalesce(max(1, parts // one_in))
+        filters = {size: bloom.held(left.filter(F.col("size") == size), "key") for size in range(2, MOST_WORDS + 1)}
+        found = keep(_spelt(some, filters), "phrases")
+        told = found if told is None else told.unionByName(found)
+        left = keep(left.join(found.select("key"), "key", "left_anti").select("size", "key"), "left")
+    return told.distinct()  # what only shares bits may be told twice
+
+
 def _parted(phrases: DataFrame) -> DataFrame:
     """``phrases`` (key, lang, phrase) with their number of words and the keys of l and r for each cut."""
 
@@ -286,7 +305,7 @@ def scored(docs: DataFrame) -> DataFrame:
         counts.append(counted(blocks, size))
         frequent[size] = bloom.held(_frequent(counts[-1]), "key")
     every = counts[0].unionByName(counts[1]).unionByName(counts[2])
-    phrases = keep(_parted(_spelt(rows, {k: frequent[k] for k in (2, 3)})), "phrases")
+    phrases = keep(_parted(_phrases(rows, counts[1].unionByName(counts[2]))), "parted")
 
     shard = F.shiftrightunsigned("key", 65 - shards.bit_length()).cast("int")
     told = _read(phrases.select("size", "key", shard.alias("shard")), every).filter(F.col("f") >= LEAST)
