@@ -47,6 +47,12 @@ def timeline(parts: list[DataFrame], ts: str, key: str, n: int) -> DataFrame:
     return reduce(DataFrame.unionByName, latest).orderBy(F.desc(ts), F.desc(key), "kind").limit(n)
 
 
+def recent(rows: DataFrame, section: str, ts: str, key: str, n: int) -> DataFrame:
+    """The ``n`` latest rows of each section."""
+    at = F.row_number().over(Window.partitionBy(section).orderBy(F.desc(ts), F.desc(key)))
+    return rows.withColumn("_n", at).filter(F.col("_n") <= n).drop("_n")
+
+
 def page(df: DataFrame, ts: str, key: str, n: int, after: tuple[Any, Any] | None = None) -> DataFrame:
     """The next ``n`` rows in descending (ts, key) after the row ``after``: a range predicate, never an offset."""
     if after is not None:
@@ -102,3 +108,36 @@ def longest_prefix(paths: DataFrame, path: str, folders: DataFrame, folder: str)
 def first_of(*columns: str) -> Column:
     """The first of several texts that is neither null nor empty."""
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns])
+
+
+WORKTREE_MARK = "--claude-worktrees-"
+HOME_PREFIX = r"^-(?:home|Users)-[^-]+(?:-|$)"
+
+
+def alias(key: Column, cwd: Column) -> Column:
+    """A project's name from its folder's key: what follows the home, else the last two parts of the path, else of the key."""
+    slug = lambda c: F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
+    or_else = lambda c, name: F.coalesce(F.nullif(slug(c), F.lit("")), F.lit(name))
+    whole = F.element_at(F.split(key, WORKTREE_MARK), 1)
+    parts = F.filter(F.split(F.translate(cwd, "\\", "/"), "/"), lambda p: p != "")
+    last_two = lambda xs: F.array_join(F.slice(xs, F.greatest(F.size(xs) - 1, F.lit(1)), F.lit(2)), "-")
+    pieces = F.split(F.btrim(whole, F.lit("-")), "-")
+    return (
+        F.when(whole.rlike(HOME_PREFIX), or_else(F.regexp_replace(whole, HOME_PREFIX, ""), "home"))
+        .when(F.size(parts) > 0, or_else(last_two(parts), "project"))
+        .otherwise(or_else(last_two(pieces), "project"))
+    )
+
+
+def named(keys: DataFrame, base: str, *order: str) -> DataFrame:
+    """``keys`` with ``name``: the first of a base in ``order`` has the base itself, the others the next free ``base-n``, n from 2.
+
+    A number is free unless some base is spelt so, which makes names unique.
+    """
+    rank = F.row_number().over(Window.partitionBy(base).orderBy(*order))
+    spelt = keys.select(F.regexp_extract(base, r"^(.*)-([1-9]\d{0,8})$", 1).alias("_of"), F.regexp_extract(base, r"-([1-9]\d{0,8})$", 1).alias("_n"))
+    taken = spelt.filter("_of <> ''").groupBy(F.col("_of").alias(base)).agg(F.collect_set(F.col("_n").cast("int")).alias("_taken"))
+    ranked = keys.withColumn("_rank", rank).join(taken, base, "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
+    free = F.array_except(F.sequence(F.lit(2), F.col("_rank") + F.size("_taken") + 1), F.col("_taken"))
+    name = F.when(F.col("_rank") == 1, F.col(base)).otherwise(F.concat_ws("-", base, F.get(free, F.col("_rank") - 2).cast("string")))
+    return ranked.withColumn("name", name).select(*keys.columns, "name")

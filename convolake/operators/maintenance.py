@@ -55,6 +55,12 @@ def union_merged(ours: DataFrame, theirs: DataFrame, key: str, place: str, newer
     return both.select(key, order["theirs"].alias("added"), order["at"].alias(place), *[pick[c].alias(c) for c in kept])
 
 
+def without_stale(theirs: DataFrame, ours: DataFrame, live: DataFrame, key: str) -> DataFrame:
+    """``theirs`` without rows that we don't have and whose target isn't ``live``: archived or deleted ones don't come back."""
+    held = ours.select(key).unionByName(live.select(key)).distinct()
+    return theirs.join(held, key, "left_semi")
+
+
 def recoverable(versions: DataFrame, live: DataFrame, archived: DataFrame, path: str, ts: str, cutoff: Column) -> DataFrame:
     """The latest version of each lost file within retention that is neither live nor archived as new."""
     best = versions.groupBy(path).agg(F.max(ts).alias(ts)).filter(F.col(ts) >= cutoff)

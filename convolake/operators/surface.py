@@ -5,7 +5,7 @@ from __future__ import annotations
 import ipaddress
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,28 +47,27 @@ def within(ip: Column, networks: list[str]) -> Column:
 def admitted(calls: DataFrame, key: str, ts: str, order: str, rate: int = RATE, seconds: int = RATE_SECONDS) -> DataFrame:
     """``calls`` with ``admitted``: fewer than ``rate`` admitted calls of the key in the ``seconds`` before.
 
-    Only admitted calls count, so each decision hangs on those before it; a
-    key's calls are streamed in order, and what is held of a key is at most
+    Only admitted calls count, so each decision hangs on those before it; null
+    is a key like any other, and calls without a time count for none.  A key's calls are streamed in order, and what is held of a key is at most
     ``rate`` times.
     """
     named = calls.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
-    schema = F.struct("*", F.lit(True).alias("admitted"))
-    out = named.select(schema.alias("r")).schema["r"].dataType
+    out = named.select(F.struct("*", F.lit(True).alias("admitted")).alias("r")).schema["r"].dataType
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for rows in batches:
+        for batch in batches:
             flags = []
-            for k, t in zip(rows[key], rows["_t"], strict=True):
-                if held.get("key", held) != k:
+            for k, t in zip(batch.column(key).to_pylist(), batch.column("_t").to_pylist(), strict=True):
+                if not held or held["key"] != k:
                     held = {"key": k, "times": []}
-                held["times"] = [x for x in held["times"] if x > t - seconds]
+                held["times"] = [x for x in held["times"] if t is None or x > t - seconds]
                 flags.append(len(held["times"]) < rate)
-                if flags[-1]:
+                if flags[-1] and t is not None:
                     held["times"].append(t)
-            yield rows.assign(admitted=flags)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], names=[*batch.schema.names, "admitted"])
 
-    return named.repartition(key).sortWithinPartitions(key, "_t", order).mapInPandas(run, out).drop("_t")
+    return named.repartition(key).sortWithinPartitions(key, "_t", order).mapInArrow(run, out).drop("_t")
 
 
 def joined_parts(messages: DataFrame, sessions: DataFrame, session: str, parent: str, seq: str) -> DataFrame:

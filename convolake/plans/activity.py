@@ -90,8 +90,9 @@ def budgeted_page(spark, sf_dir):
 
 
 def recent_per_section(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return A.timeline([e.filter(F.col("user_id") == 3).select("ts", F.col("event_id").alias("key"), F.col("event_type").alias("kind"))], "ts", "key", 5)
+    """The five latest events of every user."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", F.col("event_id").alias("key"), F.col("event_type").alias("kind"))
+    return A.recent(e, "user_id", "ts", "key", 5)
 
 
 def audit_failures_window(spark, sf_dir):
@@ -195,7 +196,8 @@ ORACLE_SQL = {
         ORDER BY ts DESC, event_id DESC LIMIT 20""",
     "budgeted_page": """WITH s AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS s,
         row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT conv_id, turn, role FROM s WHERE s <= 600 OR n = 1""",
-    "recent_per_section": f"{_E} WHERE user_id = 3 ORDER BY ts DESC, event_id DESC LIMIT 5",
+    "recent_per_section": """SELECT user_id, ts, event_id AS key, event_type AS kind FROM events
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5""",
     "audit_failures_window": "SELECT user_id, count(*) AS n, max(ts) AS last FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-20' GROUP BY 1",
     "busiest_users": "SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 20",
     "rolling_rate": """SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n

@@ -15,8 +15,9 @@ def _ip():
 
 
 def name_validation(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", X.valid_name(F.lower(F.substring_index("text", " ", 1))).alias("valid"))
+    """How many of a text's words may be names of files."""
+    words = F.split(F.lower("text"), " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(words, X.valid_name)).alias("valid"))
 
 
 def size_warnings(spark, sf_dir):
@@ -61,7 +62,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "name_validation": "SELECT doc_id, regexp_matches(lower(string_split(text, ' ')[1]), '^[a-z0-9][a-z0-9_-]{0,63}$') AS valid FROM documents",
+    "name_validation": """SELECT doc_id, CAST(len(list_filter(string_split(lower(text), ' '), lambda w: regexp_matches(w, '^[a-z0-9][a-z0-9_-]{0,63}$'))) AS INT) AS valid
+        FROM documents""",
     "size_warnings": """SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) > 200 THEN len(string_split(text, chr(10))) || ' lines, 200 are read'
         ELSE strlen(text) || ' bytes, 25000 are read' END AS warning FROM documents WHERE len(string_split(text, chr(10))) > 200 OR strlen(text) > 25000""",
     "network_membership": """SELECT event_id, event_id % 2 = 0 OR (user_id % 256) BETWEEN 4 AND 7 AS inside FROM events""",

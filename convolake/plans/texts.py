@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from convolake.functions import redaction
 from convolake.functions import text as T
 from convolake.operators import chunking
+from convolake.sources import transcripts
 from convolake.storage import table
 
 
@@ -87,15 +88,19 @@ def hash_embed(spark, sf_dir):
     return found.select("doc_id", F.slice("embedding", 1, 8).alias("head"))
 
 
+#: What is put behind a page's path, and what the file is then.
+_FILES = {
+    "/s.jsonl": "transcript", "/subagents/agent-1.jsonl": "subagent", "/memory/fact.md": "memory", "/memory/MEMORY.md": "memory_index",
+    "/memory/archive/old.md": "memory_archived", "/memory/MEMORY.sync-conflict-1.md": "conflict", "/notes/n.md": "note", "/.hidden.jsonl": None,
+    "/tool-results/t.jsonl": None, "/.stversions/s.jsonl": None, "/readme.txt": None,
+}
+
+
 def path_kinds(spark, sf_dir):
-    """What a path holds, by its shape."""
-    kinds = ["p/s.jsonl", "p/subagents/a.jsonl", "p/memory/m.md", "p/memory/MEMORY.md", "notes/n.md"]
-    path = F.get(F.array(*map(F.lit, kinds)), F.pmod("event_id", F.lit(5)).cast("int"))
-    kind = (
-        F.when(path.endswith("MEMORY.md"), "memory_index").when(path.contains("/memory/"), "memory")
-        .when(path.contains("/subagents/"), "subagent").when(path.endswith(".jsonl"), "transcript").otherwise("note")
-    )
-    return table(spark, sf_dir, "events").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    """What files below the paths of pages hold."""
+    end = F.get(F.array(*map(F.lit, _FILES)), F.pmod("page_id", F.lit(len(_FILES))).cast("int"))
+    path = F.concat(F.regexp_extract("url", "://([^?#]*)", 1), end)
+    return table(spark, sf_dir, "pages").select("page_id", transcripts.classified(path).alias("kind"))
 
 
 QUERIES = {
@@ -130,6 +135,7 @@ ORACLE_SQL = {
     "redact_tokens": r"""WITH d AS (SELECT doc_id, 'ghp_' || sha256(text) || ' AIza' || sha256(text) || ' ' || text AS t FROM documents)
         SELECT doc_id, md5(regexp_replace(regexp_replace(t, 'gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{22,}', '[REDACTED:github_token]', 'g'),
         'AIza[A-Za-z0-9_-]{30,}', '[REDACTED:google_api_key]', 'g')) AS digest FROM d""",
-    "path_kinds": """SELECT CASE event_id % 5 WHEN 0 THEN 'transcript' WHEN 1 THEN 'subagent' WHEN 2 THEN 'memory' WHEN 3 THEN 'memory_index' ELSE 'note' END AS kind,
-        count(*) AS n FROM events GROUP BY 1""",
+    "path_kinds": "SELECT page_id, CASE page_id % 11 "
+    + " ".join(f"WHEN {k} THEN '{kind}'" for k, kind in enumerate(_FILES.values()) if kind)
+    + " END AS kind FROM pages",
 }

@@ -40,3 +40,20 @@ def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(path: str, number: int, tables: dict[str, DataFrame]) -> None:
+    """Write ``tables`` as release ``number``; readers see all of them or none, since the list of releases is written last."""
+    spark = None
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/release={number}/{name}")
+        spark = df.sparkSession
+    if spark is not None:
+        done = spark.createDataFrame([(number,)], "number long")
+        done.coalesce(1).write.mode("append").parquet(f"{path}/releases")
+
+
+def released(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table as of the newest release."""
+    newest = spark.read.parquet(f"{path}/releases").groupBy().max("number").first()[0]
+    return spark.read.parquet(f"{path}/release={newest}/{name}")

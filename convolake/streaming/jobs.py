@@ -1,18 +1,9 @@
-"""Structured Streaming: event windows, upserts by batch, and turns that close when a session falls silent."""
+"""Structured Streaming: event windows, sessions and deduplication; sinks and turns have modules of their own."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from convolake.operators.maintenance import latest, upserted
-
-#: Milliseconds without a row after which an open turn is written.
-QUIET_MS = 600_000
 
 
 def timed(stream: DataFrame, ts: str, late: str) -> DataFrame:
@@ -37,66 +28,3 @@ def sessionized(stream: DataFrame, ts: str, gap: str, late: str, key: str) -> Da
 def deduplicated(stream: DataFrame, ts: str, late: str, *keys: str) -> DataFrame:
     """The first row of each key within the watermark; state is bounded by ``late``."""
     return timed(stream, ts, late).dropDuplicatesWithinWatermark(list(keys))
-
-
-def upserting(path: str, key: str, version: str):
-    """A ``foreachBatch`` function that keeps the newest row of each key in directories numbered by batch.
-
-    A batch that is run again writes the same directory anew, so the result
-    doesn't depend on failures; readers take the highest number.  A batch whose
-    predecessor's directory is missing fails, since earlier rows would be lost.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/{number - 1}") if number else None
-        new = latest(batch, key, version, version) if old is None else upserted(old, batch, key, version)
-        new.write.mode("overwrite").parquet(f"{path}/{number}")
-
-    return write
-
-
-TURN = "conv_id long, turn_id long, seq_start long, seq_end long, text string, closed boolean"
-_STATE = "turn_id long, seq_start long, seq_end long, parts array<string>"
-
-
-def _turns(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Closed turns at each new prompt; the open one when the session has been silent, and again if it goes on."""
-    conv_id = key[0]
-    if state.exists:
-        turn_id, lo, hi, parts = state.get
-        parts = list(parts)
-    else:
-        turn_id, lo, hi, parts = 0, -1, -1, []
-
-    def row(closed: bool) -> tuple:
-        return conv_id, turn_id, lo, hi, "\n\n".join(parts), closed
-
-    out = []
-    if state.hasTimedOut:
-        out.append(row(False))
-        state.update((turn_id, lo, hi, parts))
-    else:
-        rows = pd.concat(list(batches)).sort_values("turn")
-        for seq, role, text in zip(rows["turn"], rows["role"], rows["text"], strict=True):
-            if role == "user" and lo >= 0 or lo < 0:
-                if lo >= 0:
-                    out.append(row(True))
-                turn_id, lo, parts = turn_id + 1, int(seq), []
-            hi = int(seq)
-            if role in ("user", "assistant") and text:
-                parts.append(f"{'User' if role == 'user' else 'Assistant'}: {text}")
-        state.update((turn_id, lo, hi, parts))
-        state.setTimeoutDuration(QUIET_MS)
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in TURN.split(", ")])
-
-
-def quiet_turns(stream: DataFrame) -> DataFrame:
-    """Turns of (conv_id, turn, role, text) as they close or fall silent, in update mode.
-
-    State is one open turn a session.  A turn that goes on after it was
-    written is written again with the same (conv_id, turn_id), so an upsert by
-    that key, newest seq_end first, keeps the whole one.
-    """
-    grouped = stream.groupBy("conv_id")
-    return grouped.applyInPandasWithState(_turns, TURN, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from convolake.functions import redaction, text
 from convolake.operators import activity, chunking, maintenance, relational, retrieval
 from convolake.sources import exports, markdown, transcripts
-from convolake.streaming import jobs
+from convolake.streaming import jobs, sinks
 
 A40 = "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8s9T0"
 
@@ -224,24 +224,13 @@ def test_streamed_windows_and_upserts(spark, tmp_path):
     _drain(jobs.tumbling(read(), "ts", "1 hour", "2 hours", "user_id").writeStream.format("memory").queryName("tumbled").outputMode("complete").trigger(availableNow=True).start())
     want = df.groupBy(F.date_trunc("hour", "ts").alias("start"), "user_id").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, spark.table("tumbled").collect())) == sorted(map(tuple, want.collect()))
-    _drain(read().writeStream.foreachBatch(jobs.upserting(f"{tmp_path}/out", "user_id", "ts")).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start())
-    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/0").select("user_id", "ts").collect()))
+    _drain(read().writeStream.foreachBatch(sinks.upserting(f"{tmp_path}/out", "user_id", "ts", 4)).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start())
+    got = sorted(map(tuple, sinks.current(spark, f"{tmp_path}/out", df.schema).select("user_id", "ts").collect()))
     assert got == sorted(map(tuple, df.groupBy("user_id").agg(F.max("ts")).collect()))
     _drain(jobs.deduplicated(read(), "ts", "2 hours", "user_id").writeStream.format("memory").queryName("deduped").trigger(availableNow=True).start())
     assert spark.table("deduped").count() == 3
 
 
-def test_streamed_turns_close_at_prompts(spark, tmp_path):
-    rows = [(1, 0, "user", "q1"), (1, 1, "assistant", "r1"), (1, 2, "system", "s"), (1, 3, "user", "q2"), (2, 0, "assistant", "x")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    df.write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else timeouts keep batches coming
-    _drain(jobs.quiet_turns(stream).writeStream.format("memory").queryName("turned").outputMode("update").trigger(availableNow=True).start())
-    got = spark.table("turned").filter("closed").collect()
-    assert [(r["conv_id"], r["turn_id"], r["seq_start"], r["seq_end"], r["text"]) for r in got] == [(1, 1, 0, 2, "User: q1\n\nAssistant: r1")]
-
-
 def test_label_helpers(spark):
     df = spark.createDataFrame([(0, 999), (1, 1234), (2, 100000)], "i int, n long")
     assert [r[0] for r in df.orderBy("i").select(text.size_label(F.col("n"))).collect()] == ["999 chars", "1.2k chars", "100.0k chars"]

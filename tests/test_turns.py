@@ -114,6 +114,8 @@ def test_a_sink_replaces_by_key_and_once(spark, tmp_path):
         [("r1", 0, "b", False), ("r1", 0, "b", False), ("r2", None, None, True), ("new", 0, "n", False)],
         [],
         [(f"r{k}", None, None, True) for k in range(20)],
+        [(r, None, None, True) for r in ("new", "other")],
+        [("last", 1, "x", False)],
     ]
     want: dict[str, set] = {}
     for number, rows in enumerate(batches):
@@ -135,6 +137,20 @@ def test_a_sink_replaces_by_key_and_once(spark, tmp_path):
     assert sinks.current(spark, f"{tmp_path}/none", schema).collect() == []
 
 
+def test_upserts_keep_the_newest_and_touch_few_buckets(spark, tmp_path):
+    path, schema = f"{tmp_path}/u", "key long, version long, text string"
+    write = sinks.upserting(path, "key", "version", 16)
+    write(spark.createDataFrame([(k, 5, "a") for k in range(40)], schema), 0)
+    before = _files(path)
+    write(spark.createDataFrame([(1, 4, "old"), (2, 5, "same"), (3, 6, "new"), (3, 7, "newer"), (99, 1, "more")], schema), 1)
+    want = {k: (5, "a") for k in range(40)} | {3: (7, "newer"), 99: (1, "more")}
+    assert {r["key"]: (r["version"], r["text"]) for r in sinks.current(spark, path, schema).collect()} == want
+    after = _files(path)
+    assert {f: t for f, t in after.items() if f in before} == before
+    fresh = {f.split("bucket=")[1].split("/")[0] for f in after if f not in before and "bucket=" in f}
+    assert len(fresh) <= 4
+
+
 def test_rows_rewritten_meanwhile_are_skipped(spark):
     rows = spark.createDataFrame([("a", 1, "v"), ("b", 2, "v"), ("c", 3, "v")], "ref string, digest long, vector string")
     now = spark.createDataFrame([("a", 1), ("a", 1), ("b", 9)], "ref string, digest long")
