@@ -217,15 +217,15 @@ class Encoder:
         return b"".join(map(known.__getitem__, words))
 
 
-def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> None:
-    """Encode (doc_id, text) and write segments in ascending doc_id order.
+def write(docs: DataFrame, path: str, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> None:
+    """Encode (doc_id, text) by ``VOCABULARY``, whose rules ``Encoder`` relies on, and write segments in ascending doc_id order.
 
     The texts are dealt out and sorted first, so that ids are made where they
     are written and never shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.load(vocabulary or public_tokenizers.path(VOCABULARY))
+        encoder = Encoder.load(public_tokenizers.path(VOCABULARY))
         end = struct.pack("<I", end_id)
         seq, within, held, names, size = 0, 0, [], [], 0
 
