@@ -6,7 +6,9 @@ old one; a reader holds one directory or the other, never a half.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -79,6 +81,18 @@ def prioritized(parts: list[tuple[int, DataFrame]], key: str) -> DataFrame:
     return best.select("_r.*").drop("_priority")
 
 
+def run_all(spark: SparkSession, steps: list[tuple[str, Callable[[], object]]]) -> DataFrame:
+    """(step, at, ok, detail) of maintenance steps in order; one that fails is told, and the others run all the same."""
+    told = []
+    for at, (name, step) in enumerate(steps):
+        try:
+            result = step()
+            told.append((name, at, True, None if result is None else str(result)))
+        except Exception as e:  # whatever it is, the steps after it don't depend on it
+            told.append((name, at, False, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"))
+    return spark.createDataFrame(told, "step string, at int, ok boolean, detail string")
+
+
 def compacted(df: DataFrame, path: str, rows_per_file: int, *sort: str) -> None:
     """Rewrite a table in files of at most ``rows_per_file`` rows, sorted so that statistics skip well."""
     df.repartitionByRange(*sort).sortWithinPartitions(*sort).write.option("maxRecordsPerFile", rows_per_file).parquet(path)

@@ -52,23 +52,25 @@ def chunks(rows: DataFrame, quiet: DataFrame | None = None, session: str = "sess
     return chunking.pieces(whole, "text")
 
 
-def changes(rows: DataFrame, known: DataFrame, done: DataFrame, quiet: DataFrame, session: str = "session") -> tuple[DataFrame, DataFrame, DataFrame]:
+def changes(rows: DataFrame, done: DataFrame, quiet: DataFrame, session: str = "session") -> tuple[DataFrame, DataFrame, DataFrame]:
     """What to write after more ``rows`` have come in: (new chunks, ranges that are no longer right, new progress).
 
-    ``known`` are the chunks so far and ``done`` (session, chunked_seq) how far
-    each session is settled.  Only sessions with rows beyond that are read.
-    Where these go on with a turn that was chunked as a quiet tail, that turn
-    is opened and chunked anew.  Ranges are (session, seq_start) to be deleted.
+    ``done`` (session, chunked_seq) is how far each session is settled.  Only
+    sessions with rows beyond that are read.  Where these go on with a turn
+    that was settled as a quiet tail, that turn is opened and chunked anew,
+    whether it had a chunk or not.  Ranges are (session, seq_start); their
+    chunks are to be deleted.
     """
     settled = F.coalesce("chunked_seq", F.lit(-1).cast("long"))
     ends = rows.groupBy(session).agg(F.max("seq").alias("_end"))
     pending = ends.join(done, session, "left").withColumn("_done", settled).filter(F.col("_end") > F.col("_done"))
-    beyond = rows.join(pending.select(session, "_done"), session).filter(F.col("seq") > F.col("_done"))
-    first = beyond.groupBy(session).agg(F.min_by(F.struct("role", "is_prompt"), "seq").alias("_f"))
-    goes_on = ~F.coalesce((F.col("_f.role") == "user") & F.col("_f.is_prompt"), F.lit(False))
-    tails = known.select(session, "seq_start", "seq_end").distinct()
-    open_again = pending.join(first.filter(goes_on), session).join(tails, session)
-    reopened = open_again.filter(F.col("seq_end") == F.col("_done")).groupBy(session).agg(F.min("seq_start").alias("seq_start"))
+    prompt = F.coalesce((F.col("role") == "user") & F.col("is_prompt"), F.lit(False))
+    beyond = F.col("seq") > F.col("_done")
+    each = rows.join(pending.select(session, "_done"), session).groupBy(session).agg(
+        F.min_by(prompt, F.when(beyond, F.col("seq"))).alias("_new_turn"),
+        F.coalesce(F.max(F.when(prompt & ~beyond, F.col("seq"))), F.min("seq")).alias("seq_start"),
+    )
+    reopened = each.filter(~F.col("_new_turn")).select(session, "seq_start")
 
     since = pending.join(reopened, session, "left").select(session, F.coalesce(F.col("seq_start") - 1, "_done").alias("_since"))
     some = rows.join(since, session).filter(F.col("seq") > F.col("_since")).drop("_since")

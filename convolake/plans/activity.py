@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from convolake.functions import text as T
 from convolake.operators import activity as A
 from convolake.operators import maintenance as M
 from convolake.storage import table

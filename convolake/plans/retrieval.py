@@ -204,7 +204,7 @@ def turn_chunks_in_steps(spark, sf_dir):
     quiet = rows.select("session").distinct()
     known = keep(turnchunks.chunks(rows.filter("seq <= 2")), "known")
     done = rows.filter("seq <= 2").groupBy("session").agg(F.max("seq").alias("chunked_seq"))
-    new, gone, _ = turnchunks.changes(rows, known, done, quiet)
+    new, gone, _ = turnchunks.changes(rows, done, quiet)
     now = known.join(gone, ["session", "seq_start"], "left_anti").unionByName(new)
     return now.groupBy(F.col("session").alias("conv_id"), "seq_start", "seq_end").agg(F.sum(F.when(F.col("i") == 0, 1)).alias("n"))
 

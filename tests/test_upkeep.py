@@ -76,6 +76,12 @@ def test_flags_and_titles_follow_their_sessions(spark):
     assert {r["text"] for r in cascades.titled(docs, sessions).collect()} == {"hi", "new", "kept", "n", "first"}
 
 
+def test_a_failing_step_stops_no_other(spark):
+    rows = maintenance.run_all(spark, [("prune", lambda: 3), ("merge", lambda: 1 // 0), ("read", lambda: spark.read.parquet("/none").count()), ("optimize", lambda: None)])
+    got = [(r["step"], r["ok"], (r["detail"] or "").split(":")[0]) for r in rows.orderBy("at").collect()]
+    assert got == [("prune", True, "3"), ("merge", False, "ZeroDivisionError"), ("read", False, "AnalysisException"), ("optimize", True, "")]
+
+
 def test_stale_lines_stay_away(spark):
     rows = lambda *xs: spark.createDataFrame([(x,) for x in xs], "key string")
     got = maintenance.without_stale(rows("ours", "live", "gone", "live"), rows("ours"), rows("live", "other"), "key")
