@@ -1,11 +1,11 @@
 """A keyword index as tables, and ranked search that reads nothing else.
 
-An index is three tables in a folder: ``postings`` (bucket, term, doc_id,
+An index is three tables in a folder: ``postings`` (bucket, term, form, doc_id,
 positions), dealt by a hash of the term and sorted by it, so that a query opens
 the buckets of its terms and skips the row groups of others; ``lengths``
-(doc_id, dl); and ``totals`` (n, avgdl), one row.  Terms are folded and stemmed
-words (``functions.stem``).  Statistics are of the whole index, before any
-filter.
+(doc_id, dl); and ``totals`` (n, avgdl), one row.  Forms are folded words,
+terms their stems (``functions.stem``).  Statistics are of the whole index,
+before any filter.
 
 A null text has no words, but counts as a document; documents are told apart
 by doc_id.
@@ -25,6 +25,8 @@ BUCKETS = 32
 #: Tasks that write a bucket, so that a term in every document isn't one task's work.
 SPREAD = 4
 K1, B, MIN_IDF = R.K1, R.B, R.MIN_IDF
+#: Folded words by the query word, in lower case, that they are to match.
+Forms = dict[str, tuple[str, ...]]
 
 
 def _bucket(term: Column) -> Column:
@@ -32,17 +34,17 @@ def _bucket(term: Column) -> Column:
 
 
 def postings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(term, doc_id, positions) of every term of ``docs``."""
+    """(term, form, doc_id, positions) of every form of a term of ``docs``."""
     words = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(stem.words(text)).alias("pos", "word"))
     terms = words.join(stem.vocabulary(words), "word")
-    return terms.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return terms.groupBy("term", "form", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def build(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> None:
     """Write the index of ``docs`` below ``path``."""
     found = postings(docs, text, doc_id).withColumn("bucket", _bucket(F.col("term")))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))
-    dealt = found.repartition("bucket", salt).sortWithinPartitions("bucket", "term", "doc_id")
+    dealt = found.repartition("bucket", salt).sortWithinPartitions("bucket", "term", "form", "doc_id")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
     lengths = docs.select(F.col(doc_id).alias("doc_id"), F.size(stem.words(text)).alias("dl"))
     lengths.write.parquet(f"{path}/lengths")
@@ -55,36 +57,44 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.lengths, self.totals = spark.read.parquet(f"{path}/lengths"), spark.read.parquet(f"{path}/totals")
-        schema = f"term string, doc_id {self.lengths.schema['doc_id'].dataType.simpleString()}, positions array<int>, bucket int"
+        schema = f"term string, form string, doc_id {self.lengths.schema['doc_id'].dataType.simpleString()}, positions array<int>, bucket int"
         self.postings = spark.read.schema(schema).parquet(f"{path}/postings")  # an index without terms has no files to tell
 
-    def entries(self, word: str, prefix: bool = False) -> DataFrame:
-        """(doc_id, positions) of a word as it is typed, or of the terms that its stem begins."""
+    def entries(self, word: str, prefix: bool = False, forms: Forms | None = None) -> DataFrame:
+        """(doc_id, positions) of a word as it is typed, or of the terms that its stem begins; a row a form.
+
+        Of a word that ``forms`` lists, only these forms count.
+        """
         term = stem.term(word)
         if prefix:
-            found = self.postings.filter(F.col("term").startswith(term)).groupBy("doc_id")
-            return found.agg(F.flatten(F.collect_list("positions")).alias("positions"))
+            return self.postings.filter(F.col("term").startswith(term)).select("doc_id", "positions")
         here = (F.col("bucket") == _bucket(F.lit(term))) & (F.col("term") == term)
+        if forms and word in forms:
+            here &= F.col("form").isin(*forms[word])
         return self.postings.filter(here).select("doc_id", "positions")
 
-    def occurrences(self, phrase: R.Phrase) -> DataFrame:
-        """(doc_id, f): how often the phrase occurs in each document that has it."""
-        parts = [self.entries(w, phrase.prefix and k == len(phrase.words) - 1) for k, w in enumerate(phrase.words)]
-        found = parts[0].withColumnRenamed("positions", "starts")
-        for k, part in enumerate(parts[1:], 1):
+    def occurrences(self, phrase: R.Phrase, forms: Forms | None = None) -> DataFrame:
+        """(doc_id, f): how often the phrase occurs in each document that has it, in one row or in a row a form."""
+        parts = [self.entries(w, phrase.prefix and k == len(phrase.words) - 1, forms) for k, w in enumerate(phrase.words)]
+        if len(parts) == 1:
+            return parts[0].select("doc_id", F.size("positions").alias("f"))
+        whole = [p.groupBy("doc_id").agg(F.flatten(F.collect_list("positions")).alias("positions")) for p in parts]
+        found = whole[0].withColumnRenamed("positions", "starts")
+        for k, part in enumerate(whole[1:], 1):
             both = F.array_intersect("starts", F.expr(f"transform(positions, p -> p - {k})"))
             found = found.join(part, "doc_id").select("doc_id", both.alias("starts")).filter("size(starts) > 0")
         return found.select("doc_id", F.size("starts").alias("f"))
 
-    def search(self, query: str) -> DataFrame:
+    def search(self, query: str, forms: Forms | None = None) -> DataFrame:
         """(doc_id, score) of the documents that match, by BM25.
 
         A phrase adds to a document's score where all that it is part of
         matches: in ``a b OR c`` a document with a and c, but without b, is scored by c alone.
+        A query word matches all that has its stem, or the ``forms`` listed for it alone.
         """
         node = R.parse(query)
         every = list(dict.fromkeys(_leaves(node)))
-        hits = reduce(DataFrame.unionByName, [self.occurrences(p).withColumn("i", F.lit(i)) for i, p in enumerate(every)])
+        hits = reduce(DataFrame.unionByName, [self.occurrences(p, forms).withColumn("i", F.lit(i)) for i, p in enumerate(every)])
         counts = [F.coalesce(F.sum(F.when(F.col("i") == i, F.col("f"))), F.lit(0)).alias(f"f{i}") for i in range(len(every))]
         per_doc = hits.groupBy("doc_id").agg(*counts)
         stats = per_doc.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(every))]).crossJoin(self.totals)  # one row each

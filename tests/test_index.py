@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import sqlite3
 
+import duckdb
 import pytest
 
 from convolake.functions import stem
@@ -87,3 +88,26 @@ def test_searches_never_read_texts(spark, name):
 def test_an_empty_index(spark, tmp_path):
     index.build(spark.createDataFrame([], "doc_id long, text string"), f"{tmp_path}/i")
     assert index.Index(spark, f"{tmp_path}/i").search("cat OR dog").collect() == []
+
+
+def test_listed_forms_alone_count(spark, tmp_path):
+    rows = [(1, "under it"), (2, "Underer it"), (3, "unders under it"), (4, "ündering it"), (5, "underous")]
+    index.build(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/i")
+    held = index.Index(spark, f"{tmp_path}/i")
+    found = lambda query, forms=None: {r["doc_id"] for r in held.search(query, forms).collect()}
+    assert found("under") == {1, 2, 3, 4, 5}
+    assert found("under", {"under": ("under", "unders", "undering")}) == {1, 3, 4}
+    assert found('"under it"', {"under": ("unders", "undering")}) == {4}
+    assert found('"under under"') == {3}
+
+
+@pytest.mark.parametrize("name", ["hit_keys", "hybrid_search_capped", "hit_rows"])
+def test_rare_words_of_a_stem_dont_part_searches_from_their_sql(spark, tmp_path, name):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"the word {c} and more {'x ' * (c % 5 + t)}") for c in range(30) for t in range(4)]
+    rows += [(40, 0, "user", "underer the"), (41, 0, "user", "underous"), (42, 0, "user", "andes and theing"), (43, 0, "user", "and unde")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    df = plans.QUERIES[name](spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({plans.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
