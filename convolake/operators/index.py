@@ -1,20 +1,27 @@
 """A keyword index as tables, and ranked search that reads nothing else.
 
-An index is three tables in a folder: ``postings`` (bucket, term, form, doc_id,
-positions), dealt by a hash of the term and sorted by it, so that a query opens
+An index is three tables in a folder: ``postings`` (bucket, term, form, docs,
+positions), blocks of documents with a form's places in each, dealt by a hash of the term and sorted by it, so that a query opens
 the buckets of its terms and skips the row groups of others; ``lengths``
 (doc_id, dl); and ``totals`` (n, avgdl), one row.  Forms are folded words,
 terms their stems (``functions.stem``).  Statistics are of the whole index,
 before any filter.
 
+Words are located where the documents lie, so that only blocks of postings are
+shuffled and sorted, once: neither single words nor single postings.
+
 A null text has no words, but counts as a document; documents are told apart
 by doc_id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +31,8 @@ from convolake.operators import retrieval as R
 BUCKETS = 32
 #: Tasks that write a bucket, so that a term in every document isn't one task's work.
 SPREAD = 4
+#: Words that a worker locates at a time.
+WORDS = 1 << 20
 K1, B, MIN_IDF = R.K1, R.B, R.MIN_IDF
 #: Folded words by the query word, in lower case, that they are to match.
 Forms = dict[str, tuple[str, ...]]
@@ -33,18 +42,54 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _located(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(term, form, docs, positions) of a batch of (doc_id, words): a row a form, with its places by document."""
+    held = batch.column("words")
+    sizes = pc.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int64)
+    spelt = held.flatten().dictionary_encode()
+    forms: dict[str, int] = {}
+    form_of = np.array([forms.setdefault(stem.folded(w), len(forms)) for w in spelt.dictionary.to_pylist()], np.int64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    pair = form_of[spelt.indices.to_numpy()] * len(sizes) + doc
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    first = np.flatnonzero(np.diff(pair, prepend=-1))  # of a form in a document
+    outer = np.searchsorted(pair[first] // len(sizes), np.arange(len(forms) + 1))
+    ends = pa.array(outer.astype(np.int32))
+    inner = pa.ListArray.from_arrays(pa.array(np.append(first, len(pair)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+    columns = {
+        "term": pa.array(map(stem.term, forms), pa.string()),
+        "form": pa.array(forms, pa.string()),
+        "docs": pa.ListArray.from_arrays(ends, batch.column("doc_id").take(pa.array(doc[order][first]))),
+        "positions": pa.ListArray.from_arrays(ends, inner),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
 def postings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(term, form, doc_id, positions) of every form of a term of ``docs``."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(stem.words(text)).alias("pos", "word"))
-    terms = words.join(stem.vocabulary(words), "word")
-    return terms.groupBy("term", "form", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(term, form, docs, positions) of every form of a term, found where the documents lie, in blocks of about ``WORDS`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.cumsum(pc.list_value_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(words):  # whole documents of about WORDS words
+                done = words[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(words, done + WORDS, "right")))
+                yield _located(batch.slice(at, end - at))
+                at = end
+
+    each = docs.select(F.col(doc_id).alias("doc_id"), stem.words(text).alias("words"))
+    kind = each.schema["doc_id"].dataType.simpleString()
+    return each.mapInArrow(run, f"term string, form string, docs array<{kind}>, positions array<array<int>>")
 
 
 def build(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> None:
     """Write the index of ``docs`` below ``path``."""
     found = postings(docs, text, doc_id).withColumn("bucket", _bucket(F.col("term")))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))
-    dealt = found.repartition("bucket", salt).sortWithinPartitions("bucket", "term", "form", "doc_id")
+    salt = F.pmod(F.xxhash64(F.get("docs", F.lit(0))), F.lit(SPREAD))
+    dealt = found.repartition("bucket", salt).sortWithinPartitions("bucket", "term", "form")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
     lengths = docs.select(F.col(doc_id).alias("doc_id"), F.size(stem.words(text)).alias("dl"))
     lengths.write.parquet(f"{path}/lengths")
@@ -52,26 +97,31 @@ def build(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id"
     stats.coalesce(1).write.parquet(f"{path}/totals")
 
 
+def _opened(blocks: DataFrame) -> DataFrame:
+    """(doc_id, positions) of blocks of postings."""
+    return blocks.select(F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), "positions"))).toDF("doc_id", "positions")
+
+
 class Index:
     """An index as written by ``build``."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.lengths, self.totals = spark.read.parquet(f"{path}/lengths"), spark.read.parquet(f"{path}/totals")
-        schema = f"term string, form string, doc_id {self.lengths.schema['doc_id'].dataType.simpleString()}, positions array<int>, bucket int"
+        schema = f"term string, form string, docs array<{self.lengths.schema['doc_id'].dataType.simpleString()}>, positions array<array<int>>, bucket int"
         self.postings = spark.read.schema(schema).parquet(f"{path}/postings")  # an index without terms has no files to tell
 
     def entries(self, word: str, prefix: bool = False, forms: Forms | None = None) -> DataFrame:
-        """(doc_id, positions) of a word as it is typed, or of the terms that its stem begins; a row a form.
+        """(doc_id, positions) of a word as it is typed, or of the terms that its stem begins; a row a form and document.
 
         Of a word that ``forms`` lists, only these forms count.
         """
         term = stem.term(word)
         if prefix:
-            return self.postings.filter(F.col("term").startswith(term)).select("doc_id", "positions")
+            return _opened(self.postings.filter(F.col("term").startswith(term)))
         here = (F.col("bucket") == _bucket(F.lit(term))) & (F.col("term") == term)
         if forms and word in forms:
             here &= F.col("form").isin(*forms[word])
-        return self.postings.filter(here).select("doc_id", "positions")
+        return _opened(self.postings.filter(here))
 
     def occurrences(self, phrase: R.Phrase, forms: Forms | None = None) -> DataFrame:
         """(doc_id, f): how often the phrase occurs in each document that has it, in one row or in a row a form."""

@@ -111,3 +111,13 @@ def test_rare_words_of_a_stem_dont_part_searches_from_their_sql(spark, tmp_path,
     df = plans.QUERIES[name](spark, str(tmp_path))
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({plans.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
+def test_only_blocks_of_postings_are_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"cat word{i % 3} Cät cats") for i in range(50)], "doc_id long, text string").coalesce(1)
+    found = index.postings(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Exchange") <= 1  # that of coalesce(1), if any
+    rows = {r["form"]: r for r in found.collect()}
+    assert set(rows) == {"cat", "cats", "word0", "word1", "word2"}
+    assert rows["cats"]["term"] == "cat" and rows["cats"]["docs"] == [*range(50)] and rows["cat"]["positions"] == [[0, 2]] * 50
