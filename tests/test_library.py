@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from convolake.functions import redaction, text
 from convolake.operators import activity, chunking, maintenance, relational, retrieval
+from convolake.plans import maintenance as maintenance_plans
 from convolake.sources import exports, markdown, transcripts
 from convolake.streaming import jobs, sinks
 
@@ -288,3 +289,9 @@ def test_range_join_cover_in_a_long_conversation(spark, tmp_path):
     want = sorted((c, t, max((u for u in users[c] if u <= t), default=-1)) for c, t, *_ in rows)
     got = range_join_cover(spark, str(tmp_path)).select("conv_id", "turn", F.coalesce("chunk", F.lit(-1)))
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_estimates_hold_no_sketch_a_key(spark):
+    plan = maintenance_plans.approx_aggregates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.splitlines() if "approx_count_distinct" in line]
+    assert lines and not [line for line in lines if "keys=[o_custkey" in line]
