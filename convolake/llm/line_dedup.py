@@ -12,18 +12,20 @@ row) stays, null doc_ids last.
    ``ROWS`` MinHash values each: a pair at the threshold shares a band with a
    probability of 0.992, one at 0.85 with 0.9995, one at 0.9 with 0.99999.
    Two of n different lines get one name with a probability of n * n / 4e19.
-2. Names are sorted by band.  The first of a bucket in one of ``PIVOTS`` orders
-   is its pivot, and all others are compared with it by exact Jaccard, unless
-   their numbers of shingles alone put the threshold out of reach.  Bands that
-   so many rows share that they would weigh down a task are dealt by name as
-   well, and the pivots of their parts are compared with each other.
+2. Bands and names are shuffled in blocks, one for each of ``SLOTS`` slots that
+   a batch of documents has bands in, and sorted slot by slot.  The first of a
+   bucket in one of ``PIVOTS`` orders is its pivot, and all others are compared
+   with it by exact Jaccard, unless their numbers of shingles alone put the
+   threshold out of reach.  Slots that so many rows share that they would weigh
+   down a task are dealt by name as well, and the pivots of their parts are
+   compared with each other.
    Texts are fetched for compared lines alone: a Bloom filter whose size
    follows their number keeps the others from being shuffled.
 3. Union-find by stars over the links gives components.  Members of one bucket
    whose components still differ are compared with each other, block against
-   block within tasks by products of their shingle matrices, so no link hangs
-   on how good a pivot is, and neither pairs of one component nor those that
-   aren't alike are ever written.
+   block within tasks by products of their shingle matrices, without those that
+   marks prove unlike all others, so no link hangs on how good a pivot is, and
+   neither pairs of one component nor those that aren't alike are ever written.
 4. Lines whose name occurs twice or has a link get their component; its first
    line is found by partial aggregation, and all others are dropped.
 
@@ -46,7 +48,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convolake.llm import bloom
 from convolake.llm.components import components
+from convolake.llm.words import mixed
 from convolake.storage import keep, table
 
 #: One substituted character removes as many shingles: lines of 49 characters or more stay alike.
@@ -67,9 +71,8 @@ HOT_ROWS = 100_000
 SALTS = 64
 #: A name that holds more than one in ``FREQUENT`` of all lines is one of a broadcast table.
 FREQUENT = 1000
-#: Bits of the Bloom filter for each name in it, up to 32 MB in all; a fuller one keeps fewer lines back.
-FILTER_BITS_EACH = 16
-FILTER_BITS_LEAST, FILTER_BITS_MOST = 1 << 20, 1 << 28
+#: Documents whose names are looked up in the Bloom filter at once.
+LOOKED_UP = 512
 CHUNK_CHARS = 1 << 16
 #: Bits that are marked for a line's shingles, which prove most pairs unlike before any shingle is compared.
 MARK_BITS = 1024
@@ -268,6 +271,16 @@ def may_be_alike(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.nd
     return both >= SIMILARITY * (a_size + b_size - both)
 
 
+def may_link(bits: np.ndarray, sizes: np.ndarray, split: int) -> np.ndarray:
+    """What ``may_be_alike`` says of each of the first ``split`` lines and each line after them; with 0, of all lines and all."""
+    flags = np.unpackbits(bits, axis=1).astype(np.float32)
+    left = slice(0, split) if split else slice(0, len(bits))
+    both, a_size, b_size = flags[left] @ flags[split:].T, sizes[left, None], sizes[None, split:]
+    times = flags.sum(axis=1)
+    both = np.minimum(a_size - times[left, None] + both, b_size - times[None, split:] + both)
+    return both >= SIMILARITY * (a_size + b_size - both)
+
+
 def overlaps(lines: list[str], split: int) -> tuple[np.ndarray, np.ndarray]:
     """How many shingles each of the first ``split`` lines shares with each line after them, and all lines' numbers of shingles.
 
@@ -282,14 +295,27 @@ def overlaps(lines: list[str], split: int) -> tuple[np.ndarray, np.ndarray]:
     line, number = line[often], (np.cumsum(new & often) - 1)[often]
     left = slice(0, split) if split else slice(0, len(lines))
     shared = np.zeros((split or len(lines), len(lines) - split))
-    for at in range(0, int(number[-1]) + 1 if len(number) else 0, BLOCK_COLUMNS):
+    used = int(number[-1]) + 1 if len(number) else 0
+    for at in range(0, used, BLOCK_COLUMNS):
         lo, hi = np.searchsorted(number, [at, at + BLOCK_COLUMNS])
-        part = np.zeros((len(lines), BLOCK_COLUMNS), np.float32)
+        part = np.zeros((len(lines), min(BLOCK_COLUMNS, used - at)), np.float32)
         part[line[lo:hi], number[lo:hi] - at] = 1
         shared += part[left] @ part[split:].T
     return shared, sizes
 
 
+def _packed(values: np.ndarray, ends: list[int] | np.ndarray) -> pa.BinaryArray:
+    """Rows of 64-bit numbers as one binary value for each of the slices that end at ``ends``, the first of which is 0."""
+    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    offsets = pa.array(np.asarray(ends, np.int64) * width).cast(pa.int32())
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _numbers(packed: list[bytes]) -> np.ndarray:
+    """The 64-bit numbers of some binary values side by side."""
+    return np.frombuffer(b"".join(packed), np.int64)
+
+
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document: the names of its lines by place, and bands of those that the worker hasn't seen lately."""
     seen: set[int] = set()
@@ -311,50 +337,26 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends.append(len(new))
         if len(seen) > SEEN_NAMES:
             seen.clear()
-        bands = pa.array(_all_bands(lines).reshape(-1)).cast(pa.int64())
-        each = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32) * BANDS), bands)
-        fresh = pa.StructArray.from_arrays([pa.array(new, pa.int64()), each], names=["name", "bands"])
-        lists = [pa.array(names, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fresh)]
-        columns = [batch.column("row"), batch.column("doc_id"), pa.array(n_lines, pa.int64()), *lists]
-        yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_lines", "names", "fresh"])
-
-
-def _filter_bits(names: DataFrame, bits: int) -> bytes:
-    """A Bloom filter of one hash: bit ``name mod bits``, or-ed in words of 64 bits."""
-    bit = F.pmod("name", F.lit(bits))
-    flag = F.expr("shiftleft(1L, cast(bit % 64 AS int))")
-    words = names.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(flag).alias("bits"))
-
-    def packed(found: pd.DataFrame) -> pd.DataFrame:
-        held = np.zeros(1024, np.int64)
-        held[found["word"].to_numpy(np.int64) % 1024] = found["bits"].to_numpy(np.int64)
-        return pd.DataFrame({"part": [int(found["word"].iloc[0]) // 1024], "held": [held.tobytes()]})
-
-    parts = words.groupBy(F.shiftright("word", 10)).applyInPandas(packed, "part int, held binary")
-    whole = bytearray(bits // 8)
-    for r in parts.toLocalIterator():  # bits / 65,536 rows of 8 KB at most
-        whole[r["part"] * 8192 : (r["part"] + 1) * 8192] = r["held"]
-    return bytes(whole)
+        packed = [_packed(np.array(new, np.int64), ends), _packed(_all_bands(lines), ends)]
+        columns = [batch.column("row"), batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(names, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*columns, *packed], names=["row", "doc_id", "n_lines", "names", "fresh", "bands"])
 
 
 def _texts(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(name, line, size, marks) of the lines that ``names`` lists; size is the number of different shingles."""
-    wanted = 1 << (FILTER_BITS_EACH * names.count()).bit_length()
-    bits = min(max(wanted, FILTER_BITS_LEAST), FILTER_BITS_MOST)
-    held = docs.sparkSession.sparkContext.broadcast(_filter_bits(names, bits))
+    filter_ = docs.sparkSession.sparkContext.broadcast(bloom.held(names, "name"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.frombuffer(held.value, np.uint8)
         seen: set[int] = set()
         for batch in batches:
             found: dict[int, str] = {}
-            for text in batch.column("text"):
-                for _, line in _lines(text.as_py()):
-                    this = name(line)
-                    at = this % bits
-                    if flags[at >> 3] >> (at & 7) & 1 and this not in seen:
-                        seen.add(this)
-                        found[this] = line
+            for at in range(0, batch.num_rows, LOOKED_UP):
+                lines = [line for text in batch.column("text").slice(at, LOOKED_UP).to_pylist() for _, line in _lines(text)]
+                these = [name(line) for line in lines]
+                for k in np.flatnonzero(bloom.may_hold(filter_.value, np.array(these, np.int64))).tolist():
+                    if these[k] not in seen:
+                        seen.add(these[k])
+                        found[these[k]] = lines[k]
             if len(seen) > SEEN_NAMES:
                 seen.clear()
             lines = list(found.values())
@@ -390,56 +392,97 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.filter(alike("a_line", "b_line", "a_size", "b_size", "a_marks", "b_marks")).select("a", "b")
 
 
+def _turn(bands: np.ndarray) -> np.ndarray:
+    """What a bucket's names are turned by to find its pivot: in one order they compare as they are, in the next with their bits turned, and so on."""
+    return (bands % PIVOTS) * np.int64(0x5DEECE66D1CE4E5B)
+
+
+def _buckets(bands: np.ndarray, names: np.ndarray, parted: bool) -> list[np.ndarray]:
+    """band, name, pivot and many of the members of buckets of two or more; where they are parted, of those alone in theirs, too."""
+    order = np.argsort(bands)
+    bands = bands[order]
+    keys = names[order] ^ _turn(bands)
+    starts = np.flatnonzero(np.concatenate([[True], bands[1:] != bands[:-1]]))
+    sizes = np.diff(np.append(starts, len(bands)))
+    if not parted:
+        shared = np.repeat(sizes > 1, sizes)
+        bands, keys, sizes = bands[shared], keys[shared], sizes[sizes > 1]
+        starts = np.cumsum(sizes) - sizes
+    if not len(bands):
+        return [bands, bands, bands, np.zeros(0, bool)]
+    run, least = np.repeat(np.arange(len(starts)), sizes), np.minimum.reduceat(keys, starts)
+    order = np.lexsort((keys, run))  # the first of a run is its pivot
+    again = np.zeros(len(keys), bool)
+    again[1:] = (keys[order[1:]] == keys[order[:-1]]) & (run[1:] == run[:-1])
+    left = order[~again]
+    times = np.bincount(run[left], minlength=len(starts))
+    out = left[(times[run[left]] > 1) | parted]
+    turn = _turn(bands[out])
+    return [bands[out], keys[out] ^ turn, least[run[out]] ^ turn, (times[run[out]] > 2) | parted]
+
+
 def _shelves(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(band, name, pivot) of the lines in buckets of two or more, and pairs (a, b) of pivots of one hot band.
+    """(band, name, pivot, many) of the lines in buckets of two or more, and pairs (a, b) of pivots of one hot band.
 
-    Rows are dealt by band and sorted, and each is looked at once, so a bucket
-    takes no memory.  In hot slots they are dealt by name, too, and lines alone
-    in their part are among the rows, with themselves as pivot.
+    Bands are dealt by slot in blocks, so a task holds one slot's at a time.
+    Hot slots are dealt by name, too, and lines alone in their part are among
+    the rows, with themselves as pivot.  ``many`` is false where a bucket has
+    two names.
     """
-    slot = F.pmod("band", F.lit(SLOTS))
-    sampled = kept.sample(SLOT_SAMPLE, seed=1).select(F.explode(F.flatten("fresh.bands")).alias("band"))
-    slots = sampled.groupBy(slot.alias("slot")).count().collect()  # SLOTS rows at most
-    mean = sum(r["count"] for r in slots) / SLOTS
-    hot = [r["slot"] for r in slots if r["count"] > HOT_ROWS * SLOT_SAMPLE + 4 * mean]
-    each = kept.select(F.explode("fresh").alias("line"))  # in two steps, so that no row carries all of a document's names
-    shelved = each.select(F.col("line.name").alias("name"), F.explode("line.bands").alias("band"))
-    salt = F.when(slot.isin(hot), 1 + F.pmod(F.xxhash64("name"), F.lit(SALTS)))
-    parts = [F.coalesce(salt, F.lit(0)).cast("long").alias("part")] if hot else []
-    # in one order names compare as they are, in the next with their bits turned, and so on
-    turn = F.pmod("band", F.lit(PIVOTS)) * F.lit(0x5DEECE66D1CE4E5B)
-    keyed = shelved.select("band", *parts, F.col("name").bitwiseXOR(turn).alias("key"))
-    by = ["band", "part"] if hot else ["band"]
-    dealt = keyed.repartition(*by).sortWithinPartitions(*by, "key")
-
-    def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band = part = pivot = 0
-        begun = shown = False  # whether a run is open, and whether its pivot has been put out
+
+    n_slots, salts = SLOTS, SALTS  # workers have their own copy of this module
+
+    def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            times = np.bincount(_numbers(batch.column("bands").to_pylist()) % n_slots)
+            slots = np.flatnonzero(times)
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(times[slots])], names=["slot", "n"])
+
+    sampled = kept.select("bands").sample(SLOT_SAMPLE, seed=1).mapInArrow(slot_counts, "slot long, n long")
+    slots = sampled.groupBy("slot").agg(F.sum("n").alias("n")).collect()  # SLOTS rows at most
+    mean = sum(r["n"] for r in slots) / SLOTS
+    hot = np.array([r["slot"] for r in slots if r["n"] > HOT_ROWS * SLOT_SAMPLE + 4 * mean], np.int64)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bands, keys = batch.column("band").to_numpy(), batch.column("key").to_numpy()
-            if not len(bands):
-                continue
-            parts = batch.column("part").to_numpy() if hot else np.zeros(len(bands), np.int64)
-            new = np.ones(len(bands), bool)
-            new[1:] = (bands[1:] != bands[:-1]) | (parts[1:] != parts[:-1])
-            new[0] = not (begun and (bands[0], parts[0]) == (band, part))
-            run = np.cumsum(new)  # 0: the run that is open
-            heads = np.concatenate([np.array([pivot], np.int64), keys[new]])[run]
-            members = keys != heads
-            members[1:] &= (keys[1:] != keys[:-1]) | new[1:]
-            full = np.zeros(int(run[-1]) + 1, bool)
-            full[run[members]] = True
-            out = members | (new & (full[run] | (parts > 0)))
-            late = [(band, part, pivot, pivot)] if full[0] and not shown else []
-            late = np.array(late, np.int64).reshape(-1, 4)
-            shown = bool(full[run[-1]] or parts[-1] > 0 or (shown and not run[-1]))
-            begun, band, part, pivot = True, int(bands[-1]), int(parts[-1]), int(heads[-1])
-            rows = [pa.array(np.concatenate([x[out], late[:, k]])) for k, x in enumerate((bands, parts, keys, heads))]
-            yield pa.RecordBatch.from_arrays(rows, names=["band", "part", "key", "head"])
-
-    runs = dealt.mapInArrow(first_of_each, "band long, part long, key long, head long")
-    back = [F.col(c).bitwiseXOR(turn).alias(n) for c, n in (("key", "name"), ("head", "pivot"))]
-    shelves = keep(runs.select("band", "part", *back), "shelves")
+            bands = _numbers(batch.column("bands").to_pylist())
+            names = np.repeat(_numbers(batch.column("fresh").to_pylist()), BANDS)
+            at = (bands % n_slots) * (salts + 1)
+            if len(hot):
+                split = np.isin(bands % n_slots, hot)
+                at[split] += 1 + (mixed(names[split].view(np.uint64)) % np.uint64(salts)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+            ends = np.append(starts, len(at))
+            columns = [pa.array(x) for x in (at[starts] // (salts + 1), at[starts] % (salts + 1))]
+            columns += [_packed(bands[order], ends), _packed(names[order], ends)]
+            yield pa.RecordBatch.from_arrays(columns, names=["slot", "part", "bands", "names"])
+
+    def shelved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, bytes]] = []
+        place, names = None, ["band", "name", "pivot", "many", "part"]
+
+        def told() -> list[np.ndarray]:
+            found = _buckets(*(_numbers(list(x)) for x in zip(*held, strict=True)), place[1] > 0)
+            held.clear()
+            return [*found, np.full(len(found[0]), place[1], np.int64)]
+
+        for batch in batches:
+            out = []
+            for slot, part, *block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and place != (slot, part):
+                    out.append(told())
+                place = slot, part
+                held.append(tuple(block))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in told()], names=names)
+
+    laid = kept.select("fresh", "bands").mapInArrow(blocks, "slot long, part long, bands binary, names binary")
+    dealt = laid.repartition("slot", "part").sortWithinPartitions("slot", "part")
+    shelves = keep(dealt.mapInArrow(shelved, "band long, name long, pivot long, many boolean, part long"), "shelves")
     heads = shelves.filter("part > 0").select("band", "pivot").distinct()
     firsts = heads.groupBy("band").agg(F.min("pivot").alias("first"), F.max("pivot").alias("last")).filter("first < last")
     tied = heads.join(firsts, "band").filter("pivot <> first").select(F.col("first").alias("a"), F.col("pivot").alias("b"))
@@ -459,13 +502,15 @@ def _joined(alike: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
-def _across(mixed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Links (a, b) between roots that members of one bucket have; ``mixed`` has band, name, root, line, ``sizes`` band, blocks.
+def _across(unlinked: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links (a, b) between roots that members of one bucket have; ``unlinked`` has band, name, root, line, size, marks, ``sizes`` band, blocks.
 
     Members are cut in blocks by name, and every two blocks of a bucket are
     compared within a task, which gives links between different roots alone.
+    Lines that their marks prove unlike all that have another root are left
+    out before shingles are compared.
     """
-    cut = mixed.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("name", F.lit(5)), F.col("blocks")).cast("int"))
+    cut = unlinked.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("name", F.lit(5)), F.col("blocks")).cast("int"))
     each = cut.withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
     dealt = each.withColumn("i", F.least("block", "_t")).withColumn("j", F.greatest("block", "_t"))
 
@@ -476,8 +521,15 @@ def _across(mixed: DataFrame, sizes: DataFrame) -> DataFrame:
         split = sum(r[3] == i for r in rows) if i != j else 0
         if split == len(rows) or (roots == roots[0]).all():
             return []
-        shared, sizes = overlaps([r[5] for r in rows], split)
         left = slice(0, split or len(rows))
+        bits = np.frombuffer(b"".join([r[7] for r in rows]), np.uint8).reshape(len(rows), -1)
+        may = may_link(bits, np.array([r[6] for r in rows]), split) & (roots[left, None] != roots[None, split:])
+        some = np.concatenate([may.any(axis=1), may.any(axis=0)]) if split else may.any(axis=1)
+        if not some.any():
+            return []
+        rows, roots, split = [rows[k] for k in np.flatnonzero(some)], roots[some], int(some[:split].sum())
+        left = slice(0, split or len(rows))
+        shared, sizes = overlaps([r[5] for r in rows], split)
         union = sizes[left, None] + sizes[None, split:] - shared
         near = (shared >= SIMILARITY * union) & (roots[left, None] != roots[None, split:])
         if not near.any():
@@ -501,7 +553,7 @@ def _across(mixed: DataFrame, sizes: DataFrame) -> DataFrame:
         if held:
             yield pd.DataFrame(compared(held), columns=["a", "b"]).astype("int64")
 
-    ordered = dealt.select("band", "i", "j", "block", "root", "line").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    ordered = dealt.select("band", "i", "j", "block", "root", "line", "size", "marks").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     return ordered.mapInPandas(run, "a long, b long")
 
 
@@ -514,12 +566,12 @@ def classes(kept: DataFrame, docs: DataFrame) -> DataFrame:
     texts = keep(_texts(docs, named), "texts")
     roots = keep(components(_verified(pairs, texts)), "roots").withColumnRenamed("id", "name")
 
-    told = shelves.join(roots, "name", "left").select("band", "name", F.coalesce("root", "name").alias("root")).distinct()
+    told = shelves.filter("many").join(roots, "name", "left").select("band", "name", F.coalesce("root", "name").alias("root")).distinct()
     unlike = told.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
     several = unlike.filter("lo < hi AND n > 2").select("band")  # where there are two, the other has met the pivot
-    mixed = keep(told.join(several, "band").join(texts.drop("marks"), "name"), "mixed")
+    unlinked = keep(told.join(several, "band").join(texts, "name"), "unlinked")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / (BLOCK_ROWS << 11)))
-    merged = keep(components(_across(mixed, mixed.groupBy("band").agg(blocks.alias("blocks")))), "merged")
+    merged = keep(components(_across(unlinked, unlinked.groupBy("band").agg(blocks.alias("blocks")))), "merged")
     least = merged.select(F.col("id").alias("root"), F.col("root").alias("least"))
     moved = roots.join(least, "root", "left").select("name", F.coalesce("least", "root").alias("root"))
     return moved.unionByName(least.select(F.col("root").alias("name"), F.col("least").alias("root"))).distinct()
@@ -539,7 +591,7 @@ def _met(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
 
 def dropped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(row, place, root) of the lines of ``docs`` (row, doc_id, text) that are dropped, and (row, doc_id, n_lines) of all documents."""
-    schema = "row long, doc_id long, n_lines long, names array<long>, fresh array<struct<name: long, bands: array<long>>>"
+    schema = "row long, doc_id long, n_lines long, names array<long>, fresh binary, bands binary"
     kept = keep(docs.select("row", "doc_id", "text").mapInArrow(_named, schema), "lines")
     roots = classes(kept, docs)
     total = kept.agg(F.sum("n_lines")).first()[0] or 0

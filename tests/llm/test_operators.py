@@ -332,6 +332,53 @@ def test_op7_marks_and_numbers_agree_with_sets():
             assert all(m or e < line_dedup.SIMILARITY for m, e in zip(may, exact, strict=True))
 
 
+def test_op7_marks_of_groups_agree_with_those_of_pairs():
+    rnd = random.Random(8)
+    lines = ["".join(rnd.choices("abcdefghij ", k=rnd.choice([5, 60, 300]))) for _ in range(30)]
+    lines += [x[: len(x) // 2] + "#" + x[len(x) // 2 :] for x in lines]
+    hashes, counts = line_dedup.shingle_hashes(lines)
+    bits = line_dedup.marks(np.repeat(np.arange(60), counts), hashes, 60)
+    sizes = np.array([len(line_dedup.shingles(x)) for x in lines])
+    for split in (0, 25):
+        left, right = (np.repeat(np.arange(split or 60), 60 - split), np.tile(np.arange(split, 60), split or 60))
+        expected = line_dedup.may_be_alike(bits[left], bits[right], sizes[left], sizes[right]).reshape(split or 60, -1)
+        assert (line_dedup.may_link(bits, sizes, split) == expected).all() and not expected.all()
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_op7_shuffles_bands_in_blocks(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(line_dedup, "HOT_ROWS", -1_000_000)
+    monkeypatch.setattr(line_dedup, "SLOTS", 8)
+    monkeypatch.setattr(line_dedup, "SALTS", 3)
+    monkeypatch.setattr(line_dedup, "SLOT_SAMPLE", 1.0)
+    rnd = random.Random(9)
+    lines = ["".join(rnd.choices("abcdefghijklmnop ", k=80)) for _ in range(150)]
+    lines += [x[:40] + "#" + x[41:] for x in lines[:60]] + [x[:20] + "#" + x[21:] for x in lines[:30]] + lines[:40]
+    texts = [None, "", *["\n".join(lines[k : k + 10]) for k in range(0, len(lines), 10)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").withColumn("doc_id", F.col("row"))
+    schema = "row long, doc_id long, n_lines long, names array<long>, fresh binary, bands binary"
+    kept = docs.repartition(4).mapInArrow(line_dedup._named, schema).localCheckpoint()
+    each = sorted({line_dedup.normal(x) for x in lines})
+    buckets = defaultdict(set)
+    for line, bands in zip(each, line_dedup._all_bands(each).tolist(), strict=True):
+        for band in bands:
+            buckets[band].add(line_dedup.name(line))
+    shelves, tied = line_dedup._shelves(kept)
+    found, pivots = defaultdict(set), defaultdict(set)
+    for r in shelves.collect():
+        found[r["band"]].add(r["name"])
+        pivots[r["band"]].add(r["pivot"])
+        assert r["many"] or len(buckets[r["band"]]) == 2
+    several = {band: names for band, names in buckets.items() if len(names) > 1}
+    assert len(several) > 100 and {band: found[band] for band in several} == several
+    assert all(pivots[band] <= names for band, names in several.items())
+    if hot:
+        assert max(map(len, pivots.values())) > 1 and tied.count() > 0
+    else:
+        assert set(found) == set(several) and max(map(len, pivots.values())) == 1 and tied.count() == 0
+
+
 def test_op7_bands_find_pairs_at_the_threshold():
     rnd = random.Random(5)
     for length in (49, 120, 900):
